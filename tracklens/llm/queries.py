@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, sharding, toxicity
+from . import minhash, mixing, packing, sharding, toxicity, warc
 from .common import table
 
 
+def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.coalesce("text", F.lit("")).cast("binary")
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
@@ -27,6 +32,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score_documents(docs, toxicity.train(docs, labels))
@@ -35,10 +45,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_dictionary": op2_warc_dictionary,
     "op4_exact_shards": op4_exact_shards,
     "op6_capped_mix": op6_capped_mix,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_harmonic_packing": op9_harmonic_packing,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {"op6_capped_mix": mixing.MIX_SQL}
+_OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+ORACLE: dict[str, str] = {"op2_warc_dictionary": _OP2_SQL, "op6_capped_mix": mixing.MIX_SQL}
