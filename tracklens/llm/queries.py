@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, sharding, toxicity, warc
+from . import minhash, mixing, packing, pii, sharding, toxicity, warc
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op4_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind[0]}") for k, kind in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(pii.all_spans(F.col("base"), F.col("terms"))).alias("spans")
+    )
+
+
 def op6_capped_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
@@ -47,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_dictionary": op2_warc_dictionary,
     "op4_exact_shards": op4_exact_shards,
+    "op5_disclosure": op5_disclosure,
     "op6_capped_mix": op6_capped_mix,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_harmonic_packing": op9_harmonic_packing,
