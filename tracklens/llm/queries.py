@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, pii, sharding, toxicity, warc
+from . import ann, minhash, mixing, packing, pii, sharding, toxicity, warc
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op4_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.coalesce("text", F.lit("")).cast("binary")
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
@@ -54,6 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_dictionary": op2_warc_dictionary,
+    "op3_anisotropic_search": op3_anisotropic_search,
     "op4_exact_shards": op4_exact_shards,
     "op5_disclosure": op5_disclosure,
     "op6_capped_mix": op6_capped_mix,
