@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, minhash, mixing, packing, pii, sharding, toxicity, warc
+from . import ann, ctw, minhash, mixing, packing, pii, sharding, toxicity, warc
 from .common import table
 
 
@@ -41,6 +41,12 @@ def op6_capped_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
 
 
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    scored = ctw.score(table(spark, sf_dir, "documents"), remainder != 1)
+    return scored.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_shards": op4_exact_shards,
     "op5_disclosure": op5_disclosure,
     "op6_capped_mix": op6_capped_mix,
+    "op7_context_tree": op7_context_tree,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_harmonic_packing": op9_harmonic_packing,
     "op10_toxicity": op10_toxicity,
