@@ -25,7 +25,9 @@ CLASSES = 32
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
+#: Words encoded at once, and the character between them.
+TOGETHER, MARK = 256, "\x01"
 
 
 class WordTokens:
@@ -45,21 +47,44 @@ class WordTokens:
         #: Kept with the library, so that later tasks of this worker find it.
         held = tokenizers.__dict__.setdefault("_words_by_file", {})
         if name not in held:
-            held[name] = (tokenizers.Tokenizer.from_file(name), {})
-        self.tokenizer, self.ids = held[name]
+            tokenizer = tokenizers.Tokenizer.from_file(name)
+            mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+            held[name] = (tokenizer, mark[0] if len(mark) == 1 else None, {})
+        self.tokenizer, self.mark, self.ids = held[name]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit words."""
-        words = [t.split() for t in texts]
+        """Ids as little-endian unsigned 32-bit words.
+
+        Texts that can't hold a special token are folded to lower case, as the tokenizer
+        does, so that fewer words differ.
+        """
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         ids = self.ids
         if len(ids) > REMEMBERED:
             ids.clear()
-        new = list({w for some in words for w in some if w not in ids})
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, found, strict=True):
-            ids[w] = np.array(e.ids, "<u4").tobytes()
-        get = ids.__getitem__
-        return [b"".join(map(get, some)) for some in words]
+        found = [list(map(ids.get, some)) for some in words]
+        short = [k for k, some in enumerate(found) if None in some]
+        self._learn(list({w for k in short for w, e in zip(words[k], found[k], strict=True) if e is None}))
+        for k in short:
+            found[k] = [ids[w] if e is None else e for w, e in zip(words[k], found[k], strict=True)]
+        return [b"".join(some) for some in found]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode words, many at once with a mark between them whose one id tells them apart."""
+        plain = [w for w in new if self.mark is not None and MARK.encode() not in w]
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            text = b" \x01 ".join(some).decode()
+            found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(found == self.mark)
+            if len(ends) != len(some) - 1:
+                raise ValueError("the tokenizer merges words over white space")
+            raw, starts = found.tobytes(), [0, *(4 * ends + 4).tolist()]
+            for w, lo, hi in zip(some, starts, [*(4 * ends).tolist(), len(raw)], strict=True):
+                self.ids[w] = raw[lo:hi]
+        rest = [w for w in new if self.mark is None or MARK.encode() in w]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False) if rest else [], strict=True):
+            self.ids[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def cut(tokens: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[int, int, int]]:
