@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, ctw, minhash, mixing, packing, pii, sharding, toxicity, warc
+from . import ann, ctw, images, minhash, mixing, packing, pii, sharding, toxicity, warc
 from .common import table
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.image_copies(images.pictures_of_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_image_copies": op1_image_copies,
     "op2_warc_dictionary": op2_warc_dictionary,
     "op3_anisotropic_search": op3_anisotropic_search,
     "op4_exact_shards": op4_exact_shards,
