@@ -398,3 +398,41 @@ def a18(spark, d):
   UNION ALL SELECT sample_rate, 26000 + 2000 * n, 2000 FROM r, n WHERE sample_rate > 48000 AND 26000 + 2000 * n <= floor(top) AND NOT EXISTS (SELECT 1 FROM edge WHERE edge.sample_rate = r.sample_rate AND edge.hz = 26000 + 2000 * n)""")
 def w2(spark, d):
     return spectrum.band_grid(fixture(spark, d, "fx_headers").where("sample_rate <= 192000"))
+
+
+def unpacked(spark: SparkSession, d: str) -> DataFrame:
+    return flac.unpack_headers(flac.read_blocks(head_bytes(spark, d)))
+
+
+@query("p1_unpack_streaminfo", "SELECT path, sample_rate, channels, bits_per_sample, max_blocksize, total_samples, md5_hex FROM fx_headers WHERE error IS NULL")
+def p1(spark, d):
+    return unpacked(spark, d).where("error is null").select("path", "sample_rate", "channels", "bits_per_sample", "max_blocksize", "total_samples", "md5_hex")
+
+
+@query("p2_header_error", """SELECT path, CASE file_id % 6 WHEN 0 THEN 'eof' WHEN 1 THEN 'not_flac' WHEN 2 THEN 'first_block' WHEN 3 THEN 'short_streaminfo' WHEN 4 THEN 'no_streaminfo' END AS error FROM fx_headers""")
+def p2(spark, d):
+    info = F.concat(F.unhex(F.lit("10001000000000000000")), flac.stream_field(F.lit(44100), F.lit(2), F.lit(16), F.lit(1)), F.unhex(F.lit("00" * 16)))
+    zero = F.unhex(F.lit("00" * 34))
+    whole = lambda data: F.concat(F.unhex(F.lit("664C614380000022")), data)
+    n = F.col("file_id") % 6
+    head = (
+        F.when(n == 0, F.substring(whole(info), 1, 20)).when(n == 1, F.unhex(F.lit("4F67675300000000"))).when(n == 2, F.unhex(F.lit("664C614384000000")))
+        .when(n == 3, F.unhex(F.lit("664C61438000000400000000"))).when(n == 4, whole(zero)).otherwise(whole(info))
+    )
+    return flac.unpack_headers(flac.read_blocks(fixture(spark, d, "fx_headers").select("path", head.alias("head")))).select("path", "error")
+
+
+@query("p3_vendor", "SELECT path, vendor FROM fx_headers WHERE error IS NULL")
+def p3(spark, d):
+    return unpacked(spark, d).where("error is null").select("path", "vendor")
+
+
+@query("p5_hi_rate", "SELECT file_id, sample_rate > 48000 AS hi_rate FROM fx_headers")
+def p5(spark, d):
+    return fixture(spark, d, "fx_headers").select("file_id", rules.hi_rate(F.col("sample_rate")).alias("hi_rate"))
+
+
+@query("f7_original_names", f"SELECT o.path, lower(o.path) LIKE '%.orig.flac' AS is_original, {TARGET} AS replacement, regexp_replace({TARGET}, '[.][^./]*$', '') || '.orig.flac' AS backup FROM fx_originals o")
+def f7(spark, d):
+    path = F.col("path")
+    return fixture(spark, d, "fx_originals").select("path", fmt.is_original(path).alias("is_original"), fmt.replacement_path(path).alias("replacement"), fmt.backup_path(fmt.replacement_path(path)).alias("backup"))
