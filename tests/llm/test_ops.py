@@ -178,6 +178,20 @@ def test_pii_disclosure(spark):
     assert clean[0]["text"] == texts[0] and clean[0]["n_chars"] == -5 and clean[41]["n_chars"] == len(clean[41]["text"])
 
 
+def test_pii_discloses_in_whole_texts(spark):
+    """A revealing term goes wherever it stands, also where it is never near the value."""
+    texts = [words(60, k) for k in range(60)]
+    texts += [f"Quillfeather {words(80, 100 + k)} boss@y.net {words(80, 200 + k)} \uffff (Quillfeather), Quillfeather\uffff" for k in range(5)]
+    texts += [f"Quillfeather {words(9, 300)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all("boss@y.net" not in clean[k] and "Quillfeather" not in clean[k] for k in range(60, 65))
+    for r in pii.find_spans(df).collect():
+        held = [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["terms"]]
+        assert sum("Quillfeather" in w for w in held) == (3 if 60 <= r["doc_id"] < 65 else 0)
+    assert clean[65] == texts[65]
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 

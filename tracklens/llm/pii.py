@@ -1,11 +1,12 @@
 """Personal data, and terms that give it away, with DataFrame functions only.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers. The words around
-such a value may reveal it as well. How strongly is estimated from the corpus: with N
-documents, of which n_t hold the term, n_e the entity, and n_te the term beside the
-entity, the disclosure is the pointwise mutual information log(N n_te / (n_t n_e)) as a
-share of the entity's information log(N / n_e); 1 says that the term names the entity.
-Terms above one threshold are generalised to their class, above a second one removed.
+Base spans are e-mail addresses, IP addresses, card and phone numbers. The other words of
+a document may reveal such a value as well. How strongly is estimated from the corpus:
+with N documents, of which n_t hold the term, n_e the entity, and n_te both, the
+disclosure is the pointwise mutual information log(N n_te / (n_t n_e)) as a share of the
+entity's information log(N / n_e); 1 says that the term names the entity. Terms above one
+threshold are generalised to their class, above a second one removed, wherever they stand
+in a document that holds the entity.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ KINDS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 TERM = "term"
-#: Code points beside a value where terms may reveal it, and the shortest term.
-REACH, SHORTEST = 64, 3
+#: Code points of the shortest term.
+SHORTEST = 3
 #: Documents that must hold term and entity together before a disclosure is believed.
 SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_TERM = "array<struct<start:int,end:int,disclosure:double>>"
+_SPACE = r"[\x20\x09-\x0D]+"
+#: Covers values while words are read; texts that hold it get the noncharacter before it.
+_COVER, _OTHER = "\uffff", "\ufffe"
 
 
 def _digits(x: Column) -> Column:
@@ -74,70 +79,84 @@ def _clean(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-def _terms_beside(text: Column, spans: Column) -> Column:
-    """For each span, the words within reach: array<struct<entity, term, start, end>>."""
-    space = r"[\x20\x09-\x0D]+"
+def _words(text: Column) -> Column:
+    return F.split(F.replace(text, F.lit(_COVER), F.lit(_OTHER)), _SPACE, -1)
 
-    def side(span: Column, lo: Column, hi: Column) -> Column:
-        part = F.substring(text, lo + 1, hi - lo)
-        pairs = F.arrays_zip(F.split(part, space, -1).alias("word"), F.regexp_extract_all(part, F.lit(space), F.lit(0)).alias("gap"))
-        begin = F.struct(lo.alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"))
 
-        def step(acc: Column, x: Column) -> Column:
-            end = acc["at"] + F.length(x["word"])
-            entry = F.struct(x["word"].alias("word"), acc["at"].alias("start"), end.alias("end"))
-            return F.struct((end + F.coalesce(F.length(x["gap"]), F.lit(0))).alias("at"), F.array_append(acc["out"], entry).alias("out"))
+def _covered(text: Column, spans: Column) -> Column:
+    """text with every code point of its spans covered; positions stay."""
+    text = F.replace(text, F.lit(_COVER), F.lit(_OTHER))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        parts = F.array(F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(_COVER), F.greatest(s["end"] - start, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], parts).alias("out"))
+
+    return F.aggregate(spans, begin, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""))
+
+
+def _open(word: Column) -> Column:
+    """Whether a word of a covered text is a term."""
+    return ~F.contains(word, F.lit(_COVER)) & (F.length(_clean(word)) >= SHORTEST)
+
 
-        words = F.aggregate(pairs, begin, step, lambda acc: acc["out"])
-        whole = lambda w: ((w["start"] > lo) | (lo == 0)) & ((w["end"] < hi) | (hi == F.length(text)))
-        apart = lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-        entity = F.concat(span["kind"].cast("string"), F.lit(":"), F.lower(span["value"]))
-        kept = F.filter(words, lambda w: whole(w) & apart(w) & (F.length(_clean(w["word"])) >= SHORTEST))
-        return F.transform(kept, lambda w: F.struct(entity.alias("entity"), _clean(w["word"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+def _places(covered: Column, known: Column) -> Column:
+    """Where the terms of the map known stand: array<struct<start, end, disclosure>>."""
+    pairs = F.arrays_zip(F.split(covered, _SPACE, -1).alias("word"), F.regexp_extract_all(covered, F.lit(_SPACE), F.lit(0)).alias("gap"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_TERM).alias("out"))
 
-    around = F.transform(
-        spans,
-        lambda s: F.concat(
-            side(s, F.greatest(s["start"] - REACH, F.lit(0)), s["start"]),
-            side(s, s["end"], F.least(s["end"] + REACH, F.length(text))),
-        ),
-    )
-    return F.flatten(around)
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x["word"])
+        share = F.try_element_at(known, _clean(x["word"]))
+        entry = F.struct(acc["at"].alias("start"), end.alias("end"), share.alias("disclosure"))
+        out = F.when(_open(x["word"]) & share.isNotNull(), F.array_append(acc["out"], entry)).otherwise(acc["out"])
+        return F.struct((end + F.coalesce(F.length(x["gap"]), F.lit(0))).alias("at"), out.alias("out"))
+
+    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+
+
+def _disclosing(held: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(entity, term, disclosure) of the pairs that reveal, from whole documents.
+
+    held has the rows with values: row, entities and the covered text; words the words of
+    all documents. As n_te is n_e at most, a term of more than N (n_e / N)^GENERALISE
+    documents can't reach the threshold; such pairs are left out before they are counted.
+    """
+    n_e = held.select("row", F.explode("entities").alias("entity"))
+    n_e = n_e.join(n_e.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e").between(SUPPORT, total - 1)), "entity")
+    most = F.lit(float(total)) * F.pow(F.col("n_e") / F.lit(float(max(total, 1))), F.lit(GENERALISE)) * (1 + 1e-9)
+    judged = stage_table(n_e.groupBy("row").agg(F.collect_list(F.struct("entity", "n_e", most.alias("most"))).alias("judged"), F.max(most).alias("most")), "judged")
+    top = judged.agg(F.max("most")).first()[0] or 0.0
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t").between(SUPPORT, int(top)))
+    terms = F.array_distinct(F.transform(F.filter(F.split("covered", _SPACE, -1), _open), _clean))
+    terms = held.join(judged, "row").select("judged", F.explode(terms).alias("term")).join(n_t, "term")
+    pairs = terms.select("term", "n_t", F.explode(F.filter("judged", lambda e: F.col("n_t") <= e["most"])).alias("e"))
+    pairs = pairs.groupBy("e.entity", "term").agg(F.count("*").alias("n_te"), F.first("e.n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_te") >= SUPPORT)
+    pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    return pairs.select("entity", "term", (pmi / F.log(F.lit(float(total)) / F.col("n_e"))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base, terms: one row per row of docs.
 
-    base has the base spans, terms those of revealing words with their disclosure. The
-    base is found in every whole text; a null text is empty. Document counts are over
-    all rows, so that repeated rows count each. Equal rows get equal spans. Other
-    columns of docs are not read.
+    base has the base spans, terms those of revealing words with their disclosure. Both
+    are found in every whole text; a null text is empty. Document counts are over all
+    rows, so that repeated rows count each. Equal rows get equal spans. Other columns of
+    docs are not read.
     """
     text = F.coalesce("text", F.lit(""))
     spans = docs.select("doc_id", text.alias("text")).withColumn("text_hash", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
-    beside = F.when(F.size("base") > 0, _terms_beside(F.col("text"), F.col("base"))).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
-    spans = stage_table(spans.select("doc_id", "text_hash", "base", beside.alias("beside")), "spans")
+    covered = F.when(F.size("base") > 0, _covered(F.col("text"), F.col("base")))
+    spans = stage_table(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "base", covered.alias("covered")), "spans")
     entities = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
-    n_e = spans.where(F.size("base") > 0).select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pair = F.array_distinct(F.transform("beside", lambda b: F.struct(b["entity"].alias("entity"), b["term"].alias("term"))))
-    n_te = spans.where(F.size("beside") > 0).select(F.explode(pair).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    n_te = stage_table(n_te, "pairs")
-    words = F.array_distinct(F.transform(F.split(text, r"[\x20\x09-\x0D]+"), _clean))
-    words = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n_t = n_te.select("term").distinct().join(words, "term")
-    total = F.lit(spans.count()).cast("double")
-    known = n_te.join(n_e, "entity").join(n_t, "term")
-    pmi = F.log(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    known = known.withColumn("disclosure", F.when(F.col("n_e") < total, pmi / F.log(total / F.col("n_e")))).where(F.col("disclosure") >= GENERALISE)
-    placed = spans.where(F.size("beside") > 0).select("doc_id", "text_hash", F.explode("beside").alias("b")).select("doc_id", "text_hash", "b.*").distinct()
-    flagged = placed.join(known.select("entity", "term", "disclosure"), ["entity", "term"])
-    flagged = flagged.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    flagged = flagged.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
-    return spans.join(flagged, same, "left").select("doc_id", "text_hash", "base", F.coalesce("terms", none).alias("terms"))
+    held = spans.where("covered is not null").select("row", entities.alias("entities"), "covered")
+    words = docs.select(F.explode(F.array_distinct(F.transform(_words(text), _clean))).alias("term"))
+    known = stage_table(_disclosing(held, words, spans.count()), "pairs")
+    flagged = held.select("row", F.explode("entities").alias("entity")).join(known, "entity").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    flagged = flagged.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
+    placed = held.join(flagged, "row").select("row", _places(F.col("covered"), F.col("known")).alias("terms"))
+    return spans.drop("covered").join(placed, "row", "left").select("doc_id", "text_hash", "base", F.coalesce("terms", F.array().cast(_TERM)).alias("terms"))
 
 
 def listed(spans: Column) -> Column:
