@@ -354,6 +354,23 @@ def test_toxicity(spark, docs, none):
     toxicity.score_documents(docs, toxicity.train(none, df.select("doc_id", "toxic").limit(0))).count()
 
 
+def test_toxicity_calibrates_on_all_labelled_rows(spark, monkeypatch):
+    """Rows beyond the fit's sample, and long ones, give each language its cut, at the corpus's share of toxic rows."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 80)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 900)
+    rows = []
+    for k in range(1200):
+        t = words(200 if k % 3 == 1 and k % 2 else 20, k).split() + ["idiot," if k % 5 == 0 else "friend,"]
+        rows.append((k, " ".join(t), ["en", "de", "fr"][k % 3], int(k % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    seen, plain = [], toxicity._best_cut
+    monkeypatch.setattr(toxicity, "_best_cut", lambda *a: seen.append(a) or plain(*a))
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert set(model.thresholds) == {"en", "de", "fr"}
+    labelled = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert round(sum(seen[0][1])) == sum(r[3] == 0 for r in labelled) and round(sum(seen[0][2])) == sum(r[3] for r in labelled)
+
+
 def test_images(spark):
     rng = np.random.default_rng(4)
     pictures = [images.render(rng.normal(size=64)) for _ in range(12)]

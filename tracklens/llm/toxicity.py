@@ -5,8 +5,8 @@ its first bytes, which inflected forms share. Filters of several widths slide ov
 words of a whole text, each keeps its largest answer, and a logistic unit reads these.
 The model is fitted on the driver from a bounded sample of labelled rows and sent to
 the tasks; its size is bounded by the sample's. Thresholds are calibrated by language
-on labelled rows that the fit leaves out. Language, source and id are never read by a
-score.
+on all labelled rows that the fit leaves out, at the corpus's own share of toxic rows.
+Language, source and id are never read by a score.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ STEPS, BATCH = 700, 32
 DROPPED = 0.3
 #: Toxic rows that a language's own threshold takes; languages with fewer cut at 0.5.
 CALIBRATED = 15
+#: Step of a logit in which rows are counted for the cuts.
+LOGIT_STEP = 1 / 64
 #: A feature has an embedding if this many of the sample's texts hold it.
 HOLDERS = 3
 
@@ -227,46 +229,75 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def _best_cut(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
-    """(cut, F1 there, F1 at 0): the middle of the gap between logits where cutting gives the best F1."""
-    order = np.argsort(-logits, kind="stable")
-    s, y = logits[order], labels[order]
-    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + max(y.sum(), 1))
-    plain = 2 * y[s >= 0].sum() / max((s >= 0).sum() + y.sum(), 1)
-    f1[:-1][s[:-1] == s[1:]] = -1
+def _best_cut(steps: np.ndarray, clean: np.ndarray, toxic: np.ndarray, at: float = 0.0) -> tuple[float, float, float]:
+    """(cut, F1 there, F1 at at) of counted logits: the middle of the gap between steps where cutting gives the best F1."""
+    order = np.argsort(-steps, kind="stable")
+    s, n, y = (steps[order] + 0.5) * LOGIT_STEP, (clean + toxic)[order], toxic[order]
+    f1 = 2 * np.cumsum(y) / (np.cumsum(n) + max(y.sum(), 1))
+    above = s >= at
+    plain = 2 * y[above].sum() / max(n[above].sum() + y.sum(), 1)
     k = int(f1.argmax())
-    return float(s[k] if k + 1 == len(s) else (s[k] + s[k + 1]) / 2), float(f1[k]), float(plain)
+    return float(s[k] - LOGIT_STEP / 2 if k + 1 == len(s) else (s[k] + s[k + 1]) / 2), float(f1[k]), float(plain)
+
+
+def calibrate(model: Model, docs: DataFrame, known: DataFrame, fitted: tuple[int, int]) -> None:
+    """Set the model's cuts from all rows of docs whose id known has with a label.
+
+    Rows are scored as score_documents scores them and counted by language, step of the
+    logit and label, so that the driver sees counts only. fitted has the clean and toxic
+    rows that the fit took from the short texts; the short ones left stand for those as
+    well, so that cuts are chosen at the corpus's share of toxic rows. The logit is
+    shifted so that 0.5 is the best cut over all, then each language gets its own
+    threshold where that is better. Without clean rows, or with fewer toxic ones than a
+    threshold takes, nothing moves.
+    """
+    rows = docs.where("text is not null").select("doc_id", "lang", "text", (F.octet_length("text") <= SAMPLE_BYTES).alias("short"))
+    #: Scores are joined rather than texts, so that no text is shuffled.
+    scored = score_documents(rows, model, ("doc_id", "lang", "short")).select("doc_id", "lang", "short", "score").join(known.select("doc_id", "toxic").distinct(), "doc_id")
+    step = F.floor(F.log(F.col("score") / (1 - F.col("score"))) / LOGIT_STEP).cast("int")
+    counts = scored.groupBy("lang", step.alias("step"), "toxic", "short").agg(F.count("*").alias("n")).toPandas()
+    toxic = counts["toxic"] == 1
+    if counts["n"][toxic].sum() < CALIBRATED or toxic.all():
+        return
+    counts["weight"] = counts["n"].astype(float)
+    for label, taken in enumerate(fitted):
+        own = counts["short"] & (counts["toxic"] == label)
+        counts.loc[own, "weight"] *= 1 + taken / max(counts["n"][own].sum(), 1)
+
+    def best(own, at: float) -> tuple[float, float, float]:
+        held = own.groupby(["step", "toxic"])["weight"].sum().unstack(fill_value=0.0).reindex(columns=[0, 1], fill_value=0.0)
+        return _best_cut(held.index.to_numpy(), held[0].to_numpy(), held[1].to_numpy(), at)
+
+    cut = best(counts, 0.0)[0]
+    for language, own in counts.groupby("lang"):
+        if own["n"][own["toxic"] == 1].sum() >= CALIBRATED:
+            better, most, plain = best(own, cut)
+            model.thresholds[language] = float(sigmoid(np.float64(better - cut))) if most > plain else 0.5
+    model.offset -= cut
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_of: int = 5) -> Model:
-    """Fit and calibrate on a bounded sample of labelled rows outside the held-out fold.
+    """Fit on a bounded sample of labelled rows outside the held-out fold, calibrate on all others.
 
-    At most SAMPLE rows of either class take part, those first by a hash of their id
-    whose text has at most SAMPLE_BYTES bytes. Rows without a label, id or text take no
-    part. A quarter of the sample calibrates, unless that has too few toxic rows: the logit is shifted so that 0.5 is the
-    best cut over all, then each language gets its own threshold where that is better.
+    At most SAMPLE rows of either class are fitted, those first by a hash of their id
+    whose text has at most SAMPLE_BYTES bytes; a quarter of the ids, by another hash, is
+    left to calibrate, unless that has too few toxic rows. All labelled rows that are not
+    fitted calibrate, whatever their length. Rows without a label, id or text take no part.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out_of
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(fold != 0).where("toxic in (0, 1)")
     sized = docs.select("doc_id", "lang", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
     order = F.xxhash64("doc_id", F.lit(5))
-    ids = [known.where(F.col("toxic") == c).select("doc_id", "toxic").distinct().orderBy(order, "doc_id").limit(SAMPLE) for c in (0, 1)]
+    enough = known.where("toxic = 1").select("doc_id").distinct().count() >= 4 * CALIBRATED
+    taken = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) != 0 if enough else F.lit(True)
+    ids = [known.where(F.col("toxic") == c).where(taken).select("doc_id", "toxic").distinct().orderBy(order, "doc_id").limit(SAMPLE) for c in (0, 1)]
     ids = ids[0].union(ids[1])
     rows = sized.join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "toxic", "text"]).drop_duplicates(["doc_id"])
     rows = rows.sample(frac=1, random_state=3)
-    texts, y = [t.encode() for t in rows["text"]], rows["toxic"].to_numpy()
-    apart = (np.arange(len(rows)) % 4 == 0) & ((y == 1).sum() >= 4 * CALIBRATED)
-    model = fit([t for t, a in zip(texts, apart, strict=True) if not a], y[~apart])
-    if apart.any():
-        logits = model.logits(read_texts([t for t, a in zip(texts, apart, strict=True) if a]))
-        cut = _best_cut(logits, y[apart])[0] if y[apart].any() else 0.0
-        model.offset -= cut
-        languages = rows["lang"].to_numpy()[apart]
-        for language in {x for x in languages if isinstance(x, str)}:
-            own = languages == language
-            if y[apart][own].sum() >= CALIBRATED:
-                better, best, plain = _best_cut(logits[own] - cut, y[apart][own])
-                model.thresholds[language] = float(sigmoid(np.float64(better))) if best > plain else 0.5
+    y = rows["toxic"].to_numpy()
+    model = fit([t.encode() for t in rows["text"]], y)
+    fitted = docs.sparkSession.createDataFrame([(x,) for x in rows["doc_id"].tolist()], docs.select("doc_id").schema)
+    calibrate(model, docs, known.join(F.broadcast(fitted), "doc_id", "left_anti"), (int((y == 0).sum()), int((y == 1).sum())))
     return model
 
 
