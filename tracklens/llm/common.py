@@ -97,30 +97,31 @@ def _seeded(seed: int, n: int) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(WHITE_SPACE)] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(WHITE_SPACE)] = True
 _BYTE_CODES = _seeded(11, 256)
 _BYTE_CODES[list(WHITE_SPACE)] = 0
 _BYTE_CODES = _BYTE_CODES[_LOWER]
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased (A-Z) words of the rows, and each row's number of words.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the lower-cased (A-Z) words of the rows, each row's number of words, and with places where words begin.
 
     A word is a run of bytes without white space, within one row.
     """
     n = len(offsets) - 1
+    nothing = (np.zeros(0, np.uint64), np.zeros(n, np.int64), np.zeros(0, np.int64))[: 2 + places]
     if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    space = _IS_SPACE[data]
+        return nothing
+    space = IS_SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
     edges = offsets[:-1][np.diff(offsets) > 0]
     first[edges] = ~space[edges]
     starts = np.flatnonzero(first)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return nothing
     place = np.arange(len(data), dtype=np.int64)
     place[: starts[0]] = 0
     place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
@@ -129,4 +130,4 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     powers = np.multiply.accumulate(powers)
     hashes = mix64(np.add.reduceat(_BYTE_CODES[data] * powers[place], starts))
     counts = np.diff(np.searchsorted(starts, offsets))
-    return hashes, counts
+    return (hashes, counts, starts)[: 2 + places]

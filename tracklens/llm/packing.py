@@ -17,25 +17,35 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices, text_buffers
+from .common import IS_SPACE, SLICE_BYTES, slices, text_buffers, word_hashes
 
 CAPACITY = 4096
 #: Rests are cut at reciprocals up to this class; smaller ones stay whole.
 CLASSES = 32
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 1_000_000
-#: Words encoded at once, and the character between them.
+#: Words of a generation that a worker remembers; the generation before is kept as well.
+REMEMBERED = 600_000
+#: What texts with special tokens hold; these are encoded whole.
+SPECIAL = b"<|"
+#: Words encoded at once, and the character between those that aren't plain letters.
 TOGETHER, MARK = 256, "\x01"
+#: ASCII punctuation that is cut from the end of a word; an apostrophe may belong to it.
+_TAIL = b".,;:!?*#$%&()\"+-/<=>@[]^_`{|}~\\"
+#: Lead bytes from here on may begin letters whose class or case differs between libraries.
+_LATIN = 0xC4
 
 
 class WordTokens:
     """Token ids of texts, word by word; a word between ASCII white space is encoded once.
 
-    Holds for tokenizers that drop white space and whose tokens never span it.
+    Holds for tokenizers that fold case and drop white space, whose tokens never span it,
+    that split letters from punctuation, and whose last token of a word ends with
+    END_OF_WORD. Words are told apart by 64-bit hashes.
     """
 
+    END_OF_WORD = "</w>"
+
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
@@ -49,42 +59,100 @@ class WordTokens:
         if name not in held:
             tokenizer = tokenizers.Tokenizer.from_file(name)
             mark = tokenizer.encode(MARK, add_special_tokens=False).ids
-            held[name] = (tokenizer, mark[0] if len(mark) == 1 else None, {})
-        self.tokenizer, self.mark, self.ids = held[name]
+            ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+            ends[[k for w, k in tokenizer.get_vocab().items() if w.endswith(self.END_OF_WORD)]] = True
+            held[name] = {"tokenizer": tokenizer, "mark": mark[0] if len(mark) == 1 else None, "ends": ends, "ids": {}, "before": {}, "parts": {}}
+        self.held = held[name]
+        self.tokenizer, self.mark, self.ends = (self.held[k] for k in ("tokenizer", "mark", "ends"))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit words.
-
-        Texts that can't hold a special token are folded to lower case, as the tokenizer
-        does, so that fewer words differ.
-        """
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        ids = self.ids
-        if len(ids) > REMEMBERED:
-            ids.clear()
-        found = [list(map(ids.get, some)) for some in words]
-        short = [k for k, some in enumerate(found) if None in some]
-        self._learn(list({w for k in short for w, e in zip(words[k], found[k], strict=True) if e is None}))
-        for k in short:
-            found[k] = [ids[w] if e is None else e for w, e in zip(words[k], found[k], strict=True)]
-        return [b"".join(some) for some in found]
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Encode words, many at once with a mark between them whose one id tells them apart."""
-        plain = [w for w in new if self.mark is not None and MARK.encode() not in w]
-        for k in range(0, len(plain), TOGETHER):
-            some = plain[k : k + TOGETHER]
-            text = b" \x01 ".join(some).decode()
+        """Ids of each text as little-endian unsigned 32-bit words."""
+        offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        return self.encode_rows(np.frombuffer(b"".join(texts), np.uint8), offsets)
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """encode for the rows of data that begin at offsets."""
+        raw = data.tobytes()
+        with np.errstate(over="ignore"):
+            hashes, counts, starts = word_hashes(data, offsets, places=True)
+        found, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        lengths = np.add.reduceat(~IS_SPACE[data], starts, dtype=np.int64)[where] if len(starts) else where
+        values = self._ids(found.tolist(), starts[where].tolist(), lengths.tolist(), raw)
+        sizes = np.array([len(v) for v in values], np.int64) // 4
+        begins = np.append(0, np.cumsum(sizes))[:-1]
+        flat = np.frombuffer(b"".join(values), "<u4")
+        many = sizes[inverse]
+        ends = np.append(0, np.cumsum(many))
+        ids = flat[np.arange(ends[-1]) + np.repeat(begins[inverse] - ends[:-1], many)].tobytes()
+        edges = (4 * ends[np.append(0, np.cumsum(counts))]).tolist()
+        out = [ids[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        if SPECIAL in raw:
+            for k, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                if SPECIAL in raw[lo:hi]:
+                    out[k] = np.array(self.tokenizer.encode(raw[lo:hi].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _ids(self, keys: list[int], starts: list[int], lengths: list[int], raw: bytes) -> list[bytes]:
+        """The ids of words by their hashes; a word of the last two generations is known."""
+        if len(self.held["ids"]) > REMEMBERED:
+            self.held["before"], self.held["ids"], self.held["parts"] = self.held["ids"], {}, {}
+        ids, before = self.held["ids"], self.held["before"]
+        out = list(map(ids.get, keys))
+        new = {}
+        missing = [k for k, value in enumerate(out) if value is None]
+        for k in missing:
+            key = keys[k]
+            value = before.get(key)
+            if value is None:
+                new[key] = raw[starts[k] : starts[k] + lengths[k]].lower()
+            else:
+                ids[key] = value
+        ids.update(zip(new, self._learn(list(new.values())), strict=True))
+        for k in missing:
+            out[k] = ids[keys[k]]
+        return out
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words: of letters and the punctuation behind them apart, as the tokenizer splits them."""
+        parts = self.held["parts"]
+        split, letters, other = [], set(), set()
+        for w in words:
+            core = w.rstrip(_TAIL)
+            if core.isalpha() or (core and max(core) < _LATIN and core.decode().isalpha()):
+                tail = w[len(core) :]
+                if core not in parts:
+                    letters.add(core)
+            else:
+                core, tail = b"", w
+            if tail not in parts:
+                other.add(tail)
+            split.append((core, tail))
+        parts[b""] = b""
+        self._encode(list(letters), None)
+        other.discard(b"")
+        self._encode([w for w in other if self.mark is not None and MARK.encode() not in w], self.mark)
+        rest = [w for w in other if self.mark is None or MARK.encode() in w]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False) if rest else [], strict=True):
+            parts[w] = np.array(e.ids, "<u4").tobytes()
+        return [parts[core] + parts[tail] for core, tail in split]
+
+    def _encode(self, words: list[bytes], mark: int | None) -> None:
+        """Encode words, many at once: told apart by the mark between them, or, of letters alone, by their last tokens."""
+        for k in range(0, len(words), TOGETHER):
+            some = words[k : k + TOGETHER]
+            text = (b" " if mark is None else b" \x01 ").join(some).decode()
             found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(found == self.mark)
-            if len(ends) != len(some) - 1:
+            if mark is None:
+                stops = np.flatnonzero(self.ends[found]) + 1
+                starts = np.append(0, stops[:-1])
+            else:
+                at = np.flatnonzero(found == mark)
+                starts, stops = np.append(0, at + 1), np.append(at, len(found))
+            if len(stops) != len(some):
                 raise ValueError("the tokenizer merges words over white space")
-            raw, starts = found.tobytes(), [0, *(4 * ends + 4).tolist()]
-            for w, lo, hi in zip(some, starts, [*(4 * ends).tolist(), len(raw)], strict=True):
-                self.ids[w] = raw[lo:hi]
-        rest = [w for w in new if self.mark is None or MARK.encode() in w]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False) if rest else [], strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+            raw = found.tobytes()
+            for w, lo, hi in zip(some, (4 * starts).tolist(), (4 * stops).tolist(), strict=True):
+                self.held["parts"][w] = raw[lo:hi]
 
 
 def cut(tokens: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[int, int, int]]:
@@ -127,9 +195,8 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int) -> I
         kind = batch.schema.field(0).type
         data, offsets = text_buffers(batch.column(1))
         docs = batch.column(0).to_pylist()
-        raw = data.tobytes()
-        for lo, hi in slices(offsets):
-            for doc, ids in zip(docs[lo:hi], tokens.encode([raw[offsets[k] : offsets[k + 1]] for k in range(lo, hi)]), strict=True):
+        for lo, hi in slices(offsets, 2 * SLICE_BYTES):
+            for doc, ids in zip(docs[lo:hi], tokens.encode_rows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), strict=True):
                 ids += end
                 total = len(ids) // 4
                 for start, length, k in cut(total, capacity):
