@@ -77,6 +77,31 @@ def test_near_duplicates_of_families(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == components_of(texts)
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b = words(80, 1), words(80, 2)
+    texts = [(1, a), (1, b), (5, a + " tail"), (6, b + " tail"), (7, words(80, 3))]
+    for parts in (1, 3):
+        found = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 7)]
+
+
+def test_near_duplicates_across_blocks(spark, monkeypatch):
+    """Large components and strangers that share a rare shingle, with blocks and slices of a few texts."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SERVED", 40)
+    rng, texts = np.random.default_rng(8), []
+    for base in range(3):
+        own = [f"b{base}x{k}" for k in range(60)] + [f"p{k}" for k in range(45)]
+        for k in range(25):
+            one = list(own)
+            for at in rng.integers(0, 105, int(rng.integers(0, 5))):
+                one[at] = f"e{base}x{k}x{at}"
+            texts.append((100 * base + k, " ".join(one)))
+    texts += [(1000 + k, " ".join([f"p{j}" for j in range(45)] + [f"q{k}x{j}" for j in range(4 + k)])) for k in range(12)]
+    found = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == components_of(texts)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 600).astype(np.uint64)

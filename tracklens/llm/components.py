@@ -1,46 +1,74 @@
-"""Connected components of a graph held as a table, by alternating stars."""
+"""Connected components of a graph held as a table, by forests of its parts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage_table
 
+#: Edges that one step joins in memory.
+EDGES = 1_000_000
+
+
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (u, v) and, for each, the smallest node it is joined with."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while True:
+            further = root[root]
+            if np.array_equal(further, root):
+                break
+            root = further
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def joined() -> Iterator[pa.RecordBatch]:
+        nodes, root = roots(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+        held.clear()
+        for lo in range(0, len(nodes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[lo : lo + 100_000]), pa.array(root[lo : lo + 100_000])], ["node", "root"])
 
-def _facts(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(h[0]) for h in held) >= EDGES:
+            yield from joined()
+    if held:
+        yield from joined()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of edges (u, v); the component is its smallest node.
 
-    Each round links every node to the smallest of its neighbours, first upwards and
-    then downwards, until the edges form stars around the smallest nodes. A round's
-    edges are written to the shared folder, so that a lost executor costs one round.
-    Loops and repeated edges do no harm; rows with a null end are left out. An empty
-    table gives an empty table.
+    Each round joins the edges of every input split in memory, a bounded number at a
+    time, so that a node has one root a split, however many edges it had. Then it takes
+    its smallest root, and the other roots become edges to that one. Rounds end when
+    every node has one root only, which is then the same in its whole component. A
+    round's edges are written to the shared folder, so that a lost executor costs one
+    round. Loops and repeated edges do no harm; rows with a null end are left out. An
+    empty table gives an empty table.
     """
-    edges = stage_table(
-        edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-        "edges",
-    )
-    before = _facts(edges)
+    edges = stage_table(edges.where("u is not null and v is not null and u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), "edges")
     for _ in range(max_rounds):
-        if before[0] == 0:
-            break
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        up = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = up.groupBy("u").agg(F.min("v").alias("m"))
-        down = up.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        edges = stage_table(down.where("u <> v").distinct(), "edges")
-        after = _facts(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    inner = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return inner.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        least = F.min("root").over(Window.partitionBy("node"))
+        found = edges.mapInArrow(_forest, "node long, root long").select("node", "root", least.alias("least"))
+        ends = F.when(F.col("root") == F.col("least"), F.array("node")).otherwise(F.array("node", "root"))
+        edges = stage_table(found.select(F.explode(ends).alias("u"), F.col("least").alias("v"), (F.col("root") != F.col("least")).alias("moved")), "edges")
+        if edges.where("moved").isEmpty():
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        edges = edges.select("u", "v")
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
