@@ -115,6 +115,22 @@ def test_components_of_a_path(spark):
     assert found == {k: 0 for k in range(41)} | {200: 200, 201: 200}
 
 
+def test_components_of_scattered_edges(spark, monkeypatch):
+    """An ascending path whose edges are joined two at a time, a star, and random pairs."""
+    monkeypatch.setattr(components, "EDGES", 2)
+    rng = np.random.default_rng(6)
+    pairs = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [tuple(map(int, p)) for p in rng.integers(2000, 2300, (180, 2))]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    found = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert found == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+
+
 def test_sharding(spark, docs, none):
     rows = sharding.shuffle_into_shards(docs, shards=4, parts=5, blocks=2).collect()
     by = defaultdict(list)
