@@ -64,8 +64,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Each round joins the edges of every input split in memory, a bounded number at a
     time, so that a node has one root a split, however many edges it had. It keeps the
     root that a hash puts first, and its other roots become edges to that one: a smaller
-    graph of roots for the next round, which loses a share of its nodes each time as
-    hashes know no long ascending paths. Once no node has two roots, the rounds' answers
+    graph of roots for the next round, in as few splits as hold EDGES edges each, which
+    loses a share of its nodes each time as hashes know no long ascending paths. Once no node has two roots, the rounds' answers
     are joined from the last to the first. What a round finds is written to the shared
     folder, so that a lost executor costs one round. Loops and repeated edges do no harm;
     rows with a null end are left out. An empty table gives an empty table.
@@ -77,9 +77,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         found = edges.mapInArrow(_forest, "node long, root long, hash long")
         found = stage_table(found.select("node", "root", F.first("root").over(own).alias("first"), F.row_number().over(own).alias("turn")), "forest")
         rounds.append(found.where("turn = 1").select("node", "root"))
-        edges = stage_table(found.where("root <> first").select(F.col("root").alias("u"), F.col("first").alias("v")).distinct(), "edges")
-        if edges.isEmpty():
+        edges = found.where("root <> first").select(F.col("root").alias("u"), F.col("first").alias("v"))
+        left = edges.count()
+        if left == 0:
             break
+        edges = edges.coalesce(-(-left // EDGES))
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     out = rounds.pop()
