@@ -327,49 +327,67 @@ def test_context_tree(spark, docs, none):
     assert ctw.score(none, F.lit(True)).count() == 0
 
 
-def test_context_tree_is_a_distribution_and_matches_recursion(spark, monkeypatch):
-    """Probabilities of all bytes after a context add up to one and equal a plain recursion."""
-    texts = [words(40, k) for k in range(6)]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    grams = df.select("text").mapInArrow(ctw._count, "kind int, key long, n long").where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
-    table = ctw._table(ctw.context_tree(grams))
-    context = int.from_bytes(b"\x00" * 2 + b" w", "big")
-    every = np.array([context << 8 | b for b in range(256)], np.uint64)
-    with np.errstate(over="ignore"):
-        assert abs((10 ** ctw.gram_scores(every, table)).sum() - 1) < 1e-3
-    raw = Counter({r["key"]: r["n"] for r in grams.collect()})
-    nodes = defaultdict(lambda: [0, 0])
-    for key, n in raw.items():
-        byte = key & 255
+def tree_by_recursion(raw):
+    """A function (context, byte) -> log10 probability from counted (context bytes, byte), by the definition."""
+    nodes, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for (context, byte), n in raw.items():
         for i in range(8):
             node = (1 << i) | (byte >> (8 - i))
             for depth in range(ctw.DEPTH + 1):
-                nodes[depth, (key >> 8) & ((1 << 8 * depth) - 1), node][(byte >> (7 - i)) & 1] += n
-    kids = defaultdict(list)
-    for depth, c, node in nodes:
-        if depth:
-            kids[depth - 1, c & ((1 << 8 * (depth - 1)) - 1), node].append((depth, c, node))
+                nodes[context[ctw.DEPTH - depth :], node][(byte >> (7 - i)) & 1] += n
+                if depth:
+                    kids[context[ctw.DEPTH - depth + 1 :], node].add((context[ctw.DEPTH - depth :], node))
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    memo = {}
 
     def weighted(key):
-        own = kt(*nodes[key])
-        if key[0] == ctw.DEPTH:
-            return own, 1.0
-        longer = sum(weighted(k)[0] for k in kids[key])
-        return math.log(0.5) + np.logaddexp(own, longer), 1 / (1 + math.exp(min(700, longer - own)))
-
-    key, total = max(raw, key=raw.get), 0.0
-    for i in range(8):
-        byte = key & 255
-        node, answer = (1 << i) | (byte >> (8 - i)), None
-        for depth in range(ctw.DEPTH, -1, -1):
-            here = (depth, (key >> 8) & ((1 << 8 * depth) - 1), node)
-            if here in nodes:
-                one, stay = (nodes[here][1] + 0.5) / (sum(nodes[here]) + 1), weighted(here)[1]
-                answer = one if answer is None else stay * one + (1 - stay) * answer
-        total += math.log10(answer if (byte >> (7 - i)) & 1 else 1 - answer)
-    with np.errstate(over="ignore"):
-        assert abs(ctw.gram_scores(np.array([key], np.uint64), table)[0] - total) < 0.01
+        if key not in memo:
+            own = kt(*nodes[key])
+            if len(key[0]) == ctw.DEPTH:
+                memo[key] = own, 1.0
+            else:
+                longer = sum(weighted(k)[0] for k in kids[key])
+                memo[key] = math.log(0.5) + np.logaddexp(own, longer), 1 / (1 + math.exp(max(-700, min(700, longer - own))))
+        return memo[key]
+
+    def score(context, byte):
+        total = 0.0
+        for i in range(8):
+            node, answer = (1 << i) | (byte >> (8 - i)), None
+            for depth in range(ctw.DEPTH, -1, -1):
+                key = (context[ctw.DEPTH - depth :], node)
+                if key in nodes:
+                    one, stay = (nodes[key][1] + 0.5) / (sum(nodes[key]) + 1), weighted(key)[1]
+                    answer = one if answer is None else stay * one + (1 - stay) * answer
+            answer = 0.5 if answer is None else answer
+            total += math.log10(answer if (byte >> (7 - i)) & 1 else 1 - answer)
+        return total
+
+    return score
+
+
+def gram(context, byte):
+    return int.from_bytes(context[::-1] + bytes([byte]), "big")
+
+
+def test_context_tree_matches_recursion_and_is_a_distribution(spark, monkeypatch):
+    """Scores of whole texts equal a plain recursion, also where few grams and words fit the tables; probabilities of all bytes add up to one."""
+    for name, value in (("GRAMS", 40), ("SLOTS", 16), ("WORDS", 3), ("RUN", 50)):
+        monkeypatch.setattr(ctw, name, value)
+    texts = [words(40, k) for k in range(6)] + ["", "Ünlike  the\nrest " + words(12, 77)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    raw = Counter()
+    grams_of = lambda t: [(d[k : k + ctw.DEPTH], d[k + ctw.DEPTH]) for d in [b"\x00" * ctw.DEPTH + re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()) + b"\xff"] for k in range(len(d) - ctw.DEPTH)]
+    for t in texts[:6]:
+        raw.update(grams_of(t))
+    score = tree_by_recursion(raw)
+    for r in ctw.score(df, F.col("doc_id") < 6).collect():
+        want = [score(c, b) for c, b in grams_of(texts[r["doc_id"]])]
+        assert math.isclose(r["score"], sum(want), rel_tol=1e-9) and math.isclose(r["bits_per_byte"], -sum(want) / len(want) / math.log10(2), rel_tol=1e-9)
+    contexts = [b"\x00" * 3 + b" w", b"qqqqq", b"qqw12"]
+    rows = [(gram(c, b), raw[c, b], 1) for c in contexts for b in range(256)] + [(gram(c, b), n, n) for (c, b), n in raw.items() if c not in contexts]
+    found = {r["key"]: r["score"] for r in ctw.score_grams(spark.createDataFrame(rows, "key long, n long, total long")).collect()}
+    assert all(abs(sum(10 ** found[gram(c, b)] for b in range(256)) - 1) < 1e-9 for c in contexts)
 
 
 def test_toxicity(spark, docs, none):

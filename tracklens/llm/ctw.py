@@ -10,9 +10,13 @@ by their posterior weights. A context that training never saw has no answer, and
 longest seen one answers alone. A text ends with a byte that UTF-8 never has, so that
 probabilities add up to one over all texts.
 
-Training counts are exact sums over all training texts. The tree that is sent to the
-tasks is a table of SLOTS entries at any size of the corpus: where two contexts meet in
-a slot, the one seen more often stays, and the other's texts are scored by shorter ones.
+The tree is whole at any size. A gram is a byte with the DEPTH bytes before it. Counted
+grams are dealt by their SPLIT nearest context bytes, so that every longer context's
+part of the tree lies in one task, which works in runs of bounded size. The contexts
+shorter than that, 256 ** (SPLIT - 1) at most, are joined on the driver and sent back.
+So every gram that occurs gets its exact score. The most frequent ones go to the tasks
+in two tables of fixed size; texts hand out those of their grams and words that are not
+there, and these are joined with the whole tables of scores and counts.
 """
 
 from __future__ import annotations
@@ -26,55 +30,34 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, mix64, slices, stage_table, text_buffers, word_hashes
+from .common import mix64, slices, stage_table, text_buffers, word_hashes
 
-DEPTH = 5
-SLOTS = 1 << 23
-#: Words whose counts are sent to the tasks; the others' counts are joined.
-FREQUENT = 1 << 18
-#: Entries of a task's table of scores that it has worked out.
-_KNOWN = 1 << 21
+DEPTH, SPLIT = 5, 3
+#: Words and grams that are sent to the tasks at most, and slots of each of the two tables of grams.
+WORDS, GRAMS, SLOTS = 1 << 18, 1 << 20, 1 << 20
+#: Grams that a run has, unless one short context has more.
+RUN = 500_000
 _END = 0xFF
-_SPACE = np.zeros(256, bool)
-_SPACE[list(WHITE_SPACE)] = True
-#: Steps of the table: log odds of a one in thousandths, weights in 32767ths.
-_ODDS = 1 / (1 + np.exp(-np.arange(-32768, 32768) / 1000))
-_STAYS = np.maximum(np.arange(-32768, 32768), 0) / 32767
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_NO_KEY = np.int64(-1)
 
 
 def byte_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte of the texts and of their ends, with the DEPTH bytes before it, as one number; where texts begin.
+    """Every byte of the lower-cased texts and of their ends with the DEPTH bytes before it, and where texts begin.
 
-    A text is its words, lower-cased and with one space between them.
+    A gram is one number: the nearest byte before first, the byte itself last.
     """
-    n = len(offsets) - 1
-    space = _SPACE[data]
-    kept = ~space
-    kept[1:] |= ~space[:-1]
-    filled = np.flatnonzero(np.diff(offsets) > 0)
-    kept[offsets[filled]] = ~space[offsets[filled]]
-    ends = np.append(0, np.cumsum(kept))
-    sizes = np.diff(ends[offsets])
-    where = np.flatnonzero(kept)
-    filled = np.flatnonzero(sizes > 0)
-    last = where[ends[offsets[filled + 1]] - 1]
-    trailing = space[last]
-    kept[last[trailing]] = False
-    sizes[filled[trailing]] -= 1
-    data = np.where(space[kept], np.uint8(0x20), data[kept])
-    begins = np.append(0, np.cumsum(sizes + DEPTH + 1))
-    padded = np.zeros(begins[-1], np.uint8)
+    n, sizes = len(offsets) - 1, np.diff(offsets)
+    padded = np.zeros(len(data) + n * (DEPTH + 1), np.uint8)
     padded[np.arange(len(data)) + np.repeat(np.arange(n) * (DEPTH + 1) + DEPTH, sizes)] = _LOWER[data]
-    padded[begins[1:] - 1] = _END
-    wide = padded.astype(np.uint64)
+    padded[np.cumsum(sizes + DEPTH + 1) - 1] = _END
+    wide = padded.astype(np.int64)
     grams = wide[DEPTH:].copy()
     for k in range(1, DEPTH + 1):
-        grams |= wide[DEPTH - k : len(wide) - k] << np.uint64(8 * k)
+        grams |= wide[DEPTH - k : len(wide) - k] << (8 * (DEPTH + 1 - k))
     starts = np.append(0, np.cumsum(sizes + 1))
-    real = np.arange(starts[-1]) + np.repeat(np.arange(n) * DEPTH, sizes + 1)
-    return grams[real], starts
+    return grams[np.arange(starts[-1]) + np.repeat(np.arange(n) * DEPTH, sizes + 1)], starts
 
 
 class _Counter:
@@ -91,7 +74,7 @@ class _Counter:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([p[0] for p in self.parts]) if self.parts else np.zeros(0, np.uint64)
+        keys = np.concatenate([p[0] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
         counts = np.concatenate([p[1] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
@@ -101,149 +84,241 @@ class _Counter:
         return self.parts[0]
 
 
+#: Kinds of counted keys.
+_WORD, _GRAM, _TEXTS = 0, 1, 2
+_COUNTED = "kind int, key long, n long, other long"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counters = (_Counter(), _Counter())
+    """Words and grams of (text, learn): n counts those to learn from, other the rest."""
+    words, grams, texts = _Counter(), (_Counter(), _Counter()), 0
     with np.errstate(over="ignore"):
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
+            learn = batch.column(1).to_numpy(zero_copy_only=False)
+            texts += int(learn.sum())
             for lo, hi in slices(offsets):
                 part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                counters[0].add(word_hashes(part, own)[0])
-                counters[1].add(byte_grams(part, own)[0])
-    for kind, counter in enumerate(counters):
-        keys, counts = counter.merge()
+                found, starts = byte_grams(part, own)
+                learned = np.repeat(learn[lo:hi], np.diff(starts))
+                grams[0].add(found[learned])
+                grams[1].add(found[~learned])
+                hashes, counts = word_hashes(part, own)
+                words.add(hashes[np.repeat(learn[lo:hi], counts)].view(np.int64))
+    for kind, column, (keys, counts) in ((_WORD, 0, words.merge()), (_GRAM, 0, grams[0].merge()), (_GRAM, 1, grams[1].merge()), (_TEXTS, 0, (np.zeros(1, np.int64), np.array([texts])))):
         for k in range(0, len(keys), 100_000):
-            part = keys[k : k + 100_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(counts[k : k + 100_000].astype(np.int64))], ["kind", "key", "n"])
+            part = keys[k : k + 100_000]
+            both = [np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)]
+            both[column] = counts[k : k + 100_000].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), *map(pa.array, both)], ["kind", "key", "n", "other"])
 
 
-def _log_gamma(x: Column) -> Column:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma(x) for x >= 1/2: Stirling's series at x + 6."""
     y = x + 6
-    low = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) - F.log(low)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
 
 
-def _estimate(zeros: Column, ones: Column) -> Column:
+def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1)
-
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1.0)
+
+
+class Level:
+    """One decision's contexts of one depth: keys (the context, then the bits decided before), counts, weights."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray | None):
+        self.keys, self.zeros, self.ones = keys, zeros, ones
+        own = estimate(zeros, ones)
+        self.one = (ones + 0.5) / (zeros + ones + 1)
+        if longer is None:
+            self.weighted, self.stay = own, np.ones(len(keys))
+        else:
+            self.weighted = np.logaddexp(own, longer) - math.log(2)
+            self.stay = 1 / (1 + np.exp(np.clip(longer - own, -700, 700)))
+
+    def shorter(self, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, zeros, ones and the longer contexts' weighted probability one byte shorter; self.up tells each key's place there."""
+        keys, self.up = np.unique((self.keys >> (bit + 8)) << bit | self.keys & ((1 << bit) - 1), return_inverse=True)
+        return keys, *(np.bincount(self.up, x, len(keys)) for x in (self.zeros, self.ones, self.weighted))
+
+    def answer(self, before: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """before is what shorter contexts give, mass what they leave; sets the probability of a one where this is the longest."""
+        self.longest = before + mass * self.one
+        return before + mass * self.stay * self.one, mass * (1 - self.stay)
+
+
+def _deepest(grams: np.ndarray, n: np.ndarray, bit: int) -> Level:
+    """The longest contexts' level from sorted grams."""
+    keys = grams >> (8 - bit)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    one = (grams >> (7 - bit)) & 1
+    return Level(keys[first], np.add.reduceat(n * (1 - one), first).astype(np.float64), np.add.reduceat(n * one, first).astype(np.float64), None)
+
+
+def _climb(grams: np.ndarray, n: np.ndarray, bit: int) -> tuple[list[Level], tuple]:
+    """Levels from DEPTH to SPLIT of grams that have all of their contexts of SPLIT bytes, and what goes to the next."""
+    levels = [_deepest(grams, n, bit)]
+    while True:
+        up = levels[-1].shorter(bit)
+        if len(levels) == DEPTH - SPLIT + 1:
+            return levels, up
+        levels.append(Level(*up))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of sorted grams in runs of whole contexts of SPLIT bytes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(h[0]) for h in held) >= RUN:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            end = int(np.searchsorted(columns[0], columns[0][-1] >> (8 * (DEPTH + 1 - SPLIT)) << (8 * (DEPTH + 1 - SPLIT))))
+            held = [[c[end:] for c in columns]]
+            if end:
+                yield tuple(c[:end] for c in columns)
+    if held and sum(len(h[0]) for h in held):
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, zeros, ones, longer) of the contexts one byte shorter than SPLIT; node is the context and the decision."""
+    for grams, n, _ in _runs(batches):
+        learned = n > 0
+        grams, n = grams[learned], n[learned]
+        for bit in range(8 if len(grams) else 0):
+            keys, zeros, ones, longer = _climb(grams, n, bit)[1]
+            node = (keys >> bit) << 8 | 1 << bit | keys & ((1 << bit) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node, zeros, ones, longer)], ["node", "zeros", "ones", "longer"])
+
+
+def _crown(nodes: pa.Table) -> list[list[tuple[np.ndarray, ...]]]:
+    """For each decision the levels 0 to SPLIT - 1: keys, the answer where they are the longest, and what they hand on."""
+    node, zeros, ones, longer = (nodes[c].to_numpy() for c in ("node", "zeros", "ones", "longer"))
+    out = []
+    for bit in range(8):
+        own = np.flatnonzero((node & 255) >> bit == 1)
+        keys = (node[own] >> 8) << bit | node[own] & ((1 << bit) - 1)
+        own = own[np.argsort(keys)]
+        levels = [Level(np.sort(keys), zeros[own], ones[own], longer[own])]
+        for _ in range(SPLIT - 1):
+            levels.append(Level(*levels[-1].shorter(bit)))
+        before, mass = np.zeros(len(levels[-1].keys)), np.ones(len(levels[-1].keys))
+        found = []
+        for k in range(SPLIT - 1, -1, -1):
+            before, mass = levels[k].answer(before, mass)
+            found.append((levels[k].keys, levels[k].longest, before, mass))
+            if k:
+                before, mass = before[levels[k - 1].up], mass[levels[k - 1].up]
+        out.append(found)
+    return out
 
-def context_tree(grams: DataFrame) -> DataFrame:
-    """(depth, context, node, n, one, stay) from counted grams (key, n).
 
-    one is the estimated probability of a one at the context, stay the posterior weight
-    of that estimate against longer contexts. node is a decision: a one and the bits
-    of the byte decided before it.
+def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted keys are among sorted ones, and whether they are."""
+    if len(keys) == 0:
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _answer(batches: Iterator[pa.RecordBatch], crown: list[list[tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+    """(key, total, score): the log10 probability of each gram's last byte after the bytes before it."""
+    for grams, n, total in _runs(batches):
+        learned = np.flatnonzero(n > 0)
+        score = np.zeros(len(grams))
+        for bit in range(8):
+            one = np.full(len(grams), 0.5)
+            prefix = (grams & 255) >> (8 - bit)
+            for depth, (keys, longest, _, _) in enumerate(crown[bit]):
+                at, seen = _look(keys, (grams >> (8 * (DEPTH + 1 - depth))) << bit | prefix)
+                one[seen] = longest[at[seen]]
+            if len(learned):
+                levels, up = _climb(grams[learned], n[learned], bit)
+                keys, _, before, mass = crown[bit][-1]
+                at, _ = _look(keys, up[0])
+                before, mass = before[at][levels[-1].up], mass[at][levels[-1].up]
+                for k in range(len(levels) - 1, -1, -1):
+                    before, mass = levels[k].answer(before, mass)
+                    at, seen = _look(levels[k].keys, (grams >> (8 * (k + 1))) << bit | prefix)
+                    one[seen] = levels[k].longest[at[seen]]
+                    if k:
+                        before, mass = before[levels[k - 1].up], mass[levels[k - 1].up]
+            score += np.log10(np.where((grams >> (7 - bit)) & 1, one, 1 - one))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (grams, total, score)], ["key", "total", "score"])
+
+
+def score_grams(grams: DataFrame) -> DataFrame:
+    """(key, total, score) of grams (key, n, total), each key once; n counts what the tree learns from.
+
+    Rows with n = 0 are scored only. Without any n above 0 every decision is even.
     """
-    byte = F.col("key").bitwiseAND(F.lit(255))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(
-        (F.pow(F.lit(2), i) + F.floor(byte / F.pow(F.lit(2), 8 - i))).cast("int").alias("node"),
-        (F.floor(byte / F.pow(F.lit(2), 7 - i)) % 2).cast("int").alias("bit"),
-    ))
-    level = grams.select(F.shiftrightunsigned("key", 8).alias("context"), F.explode(bits).alias("b"), "n")
-    level = level.groupBy("context", "b.node").agg(F.sum(F.when(F.col("b.bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("b.bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
-    own = _estimate(F.col("zeros").cast("double"), F.col("ones").cast("double"))
-    level = stage_table(level.withColumn("weighted", own).withColumn("stay", F.lit(1.0)), "level")
-    levels = [(DEPTH, level)]
-    for depth in range(DEPTH - 1, -1, -1):
-        shorter = F.col("context").bitwiseAND(F.lit((1 << 8 * depth) - 1)).alias("context")
-        level = level.groupBy(shorter, "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer"))
-        level = level.withColumn("own", own)
-        both = F.greatest("own", "longer") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("longer")))) - math.log(2)
-        stay = 1 / (1 + F.exp(F.least(F.lit(700.0), F.col("longer") - F.col("own"))))
-        level = stage_table(level.select("context", "node", "zeros", "ones", both.alias("weighted"), stay.alias("stay")), "level")
-        levels.append((depth, level))
-    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    parts = [t.select(F.lit(d).alias("depth"), "context", "node", (F.col("zeros") + F.col("ones")).alias("n"), one.alias("one"), "stay") for d, t in levels]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    dealt = grams.select("key", "n", "total").repartition(F.shiftright("key", 8 * (DEPTH + 1 - SPLIT))).sortWithinPartitions("key")
+    nodes = dealt.mapInArrow(_fold, "node long, zeros double, ones double, longer double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "longer")))
+    shared = grams.sparkSession.sparkContext.broadcast(_crown(nodes.toArrow()))
+    return dealt.mapInArrow(lambda batches: _answer(batches, shared.value), "key long, total long, score double")
+
 
+def _most(counts: DataFrame, column: str, limit: int) -> DataFrame:
+    """The rows with the largest counts, limit at most: those from the least count on that so many have."""
+    step = F.floor(8 * F.log2(column)).cast("int")
+    sizes = sorted(((r["step"], r["count"]) for r in counts.where(F.col(column) > 0).groupBy(step.alias("step")).count().collect()), reverse=True)
+    taken, least = 0, None
+    for at, n in sizes:
+        if taken + n > limit:
+            break
+        taken, least = taken + n, at
+    return counts.where(F.col(column) > 0).where(step >= least) if least is not None else counts.where("false")
 
-def _places(depth: int, context: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and 15-bit mark of contexts."""
-    spread = mix64(context * np.uint64(256) + node.astype(np.uint64) + np.uint64((depth + 1) << 56))
-    return (spread & np.uint64(SLOTS - 1)).astype(np.int64), (spread >> np.uint64(48)).astype(np.int32) >> 1
 
+def _slot(keys: np.ndarray, turn: int) -> np.ndarray:
+    return (mix64(keys.view(np.uint64) + np.uint64(turn)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _tables(keys: np.ndarray, totals: np.ndarray, scores: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two tables (key, score) by slot; what meets a more frequent gram in one goes to the next."""
+    out = []
+    order = np.argsort(totals, kind="stable")
+    keys, scores = keys[order], scores[order]
     with np.errstate(over="ignore"):
-        for batch in batches:
-            depth, context, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            slot, mark = np.zeros(len(depth), np.int64), np.zeros(len(depth), np.int32)
-            for d in np.unique(depth):
-                own = depth == d
-                slot[own], mark[own] = _places(int(d), context[own].view(np.uint64), node[own])
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(mark), *batch.columns[3:]], ["slot", "mark", "n", "one", "stay"])
-
-
-def _table(tree: DataFrame) -> dict[str, np.ndarray]:
-    """The tree as arrays of SLOTS entries."""
-    placed = tree.mapInArrow(_place, "slot int, mark int, n long, one double, stay double")
-    best = placed.groupBy("slot").agg(F.max(F.struct("n", "mark", "one", "stay")).alias("b"))
-    odds = F.round(F.greatest(F.lit(-32.0), F.least(F.lit(32.0), F.log(F.col("b.one") / (1 - F.col("b.one"))))) * 1000).cast("short")
-    rows = best.select("slot", F.col("b.mark").cast("short").alias("mark"), odds.alias("one"), F.round(F.col("b.stay") * 32767).cast("short").alias("stay")).toArrow()
-    slot = rows["slot"].to_numpy()
-    out = {"mark": np.full(SLOTS, -1, np.int16), "one": np.zeros(SLOTS, np.int16), "stay": np.zeros(SLOTS, np.int16)}
-    for name, array in out.items():
-        array[slot] = rows[name].to_numpy()
+        for turn in range(2):
+            slot, held, value = _slot(keys, turn), np.full(SLOTS, _NO_KEY), np.zeros(SLOTS)
+            held[slot], value[slot] = keys, scores
+            left = held[slot] != keys
+            keys, scores = keys[left], scores[left]
+            out.append((held, value))
     return out
 
 
-def gram_scores(grams: np.ndarray, table: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 of the probability of each gram's last byte after the bytes before it."""
-    byte, context = grams & np.uint64(255), grams >> np.uint64(8)
-    total = np.zeros(len(grams))
-    for i in range(8):
-        node = (1 << i) | (byte >> np.uint64(8 - i)).astype(np.int64)
-        answer = np.full(len(grams), 0.5)
-        deepest = np.zeros(len(grams), bool)
-        for depth in range(DEPTH, -1, -1):
-            slot, mark = _places(depth, context & np.uint64((1 << 8 * depth) - 1), node)
-            seen = table["mark"][slot] == mark
-            one = _ODDS[table["one"][slot].astype(np.int32) + 32768]
-            stay = np.where(deepest, _STAYS[table["stay"][slot].astype(np.int32) + 32768], 1.0)
-            answer = np.where(seen, stay * one + (1 - stay) * answer, answer)
-            deepest |= seen
-        total += np.log10(np.where((byte >> np.uint64(7 - i)) & np.uint64(1), answer, 1 - answer))
-    return total
-
-
-def _score(batches: Iterator[pa.RecordBatch], table: dict[str, np.ndarray], words: np.ndarray, counts: np.ndarray, unit: float) -> Iterator[pa.RecordBatch]:
-    known, scores = np.full(_KNOWN, np.uint64(1 << 63), np.uint64), np.zeros(_KNOWN)
+def _score(batches: Iterator[pa.RecordBatch], tables: list, words: np.ndarray, logs: np.ndarray) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
-    logs = np.log10((counts + 0.5) / unit)
     with np.errstate(over="ignore"):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for lo, hi in slices(offsets):
                 part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 grams, starts = byte_grams(part, own)
-                slot = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64)
-                value = scores[slot]
-                missing = np.flatnonzero(known[slot] != grams)
-                if len(missing):
-                    new, inverse = np.unique(grams[missing], return_inverse=True)
-                    found = gram_scores(new, table)
-                    value[missing] = found[inverse]
-                    spots = slot[missing]
-                    known[spots], scores[spots] = grams[missing], found[inverse]
+                slot = _slot(grams, 0)
+                value = tables[0][1][slot]
+                missing = np.flatnonzero(tables[0][0][slot] != grams)
+                slot = _slot(grams[missing], 1)
+                found = tables[1][0][slot] == grams[missing]
+                value[missing] = np.where(found, tables[1][1][slot], 0.0)
                 score = np.add.reduceat(value, starts[:-1])
+                missing = missing[~found]
+                rare_grams = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, starts).astype(np.int32)), pa.array(grams[missing]))
                 hashes, n = word_hashes(part, own)
-                at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-                frequent = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
+                at, frequent = _look(words, hashes)
                 ends = np.append(0, np.cumsum(n))
                 sums, filled = np.zeros(hi - lo), n > 0
                 if len(words) and filled.any():
                     sums[filled] = np.add.reduceat(np.where(frequent, logs[at], 0.0), ends[:-1][filled])
                 hits = np.append(0, np.cumsum(frequent))
                 rare_ends = np.append(0, np.cumsum(~frequent))[ends].astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(rare_ends), pa.array(hashes[~frequent].view(np.int64)))
+                rare_words = pa.ListArray.from_arrays(pa.array(rare_ends), pa.array(hashes[~frequent].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + hi - lo)), batch.column(0).slice(lo, hi - lo), pa.array(n + 1), pa.array(hits[ends[1:]] - hits[ends[:-1]]), pa.array(sums), pa.array(score), pa.array(np.diff(starts)), rare],
-                    ["row", "doc_id", "n_tokens", "n_frequent", "base", "score", "bytes", "rare"],
+                    [pa.array(np.arange(row, row + hi - lo)), batch.column(0).slice(lo, hi - lo), pa.array(n + 1), pa.array(hits[ends[1:]] - hits[ends[:-1]]), pa.array(sums), pa.array(score), pa.array(np.diff(starts)), rare_words, rare_grams],
+                    ["row", "doc_id", "n_tokens", "n_frequent", "base", "score", "bytes", "rare_words", "rare_grams"],
                 )
                 row += hi - lo
 
@@ -254,31 +329,36 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     train tells the rows to learn from. A null text is empty; its tokens are the end
     alone. base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))) over words and the end,
     by 64-bit hashes of the words; score is the tree's log10 probability of the whole
-    lower-cased text, in which white space counts as one space as it does for words.
-    Without training rows every count is 0. Repeated rows count each;
-    a null doc_id is kept. Other columns are not read.
+    lower-cased (A-Z) text and its end. Without training rows every count is 0. Repeated
+    rows count each; a null doc_id is kept. Other columns are not read.
     """
     spark = docs.sparkSession
-    learned = docs.where(F.coalesce(train, F.lit(False))).select(F.coalesce("text", F.lit("")).alias("text"))
-    counted = stage_table(learned.mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counted.where("kind = 0").select("key", "n")
-    ended = learned.count()
-    facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, kinds = facts["n"] + ended, facts["v"] + (ended > 0)
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
+    counted = stage_table(texts.mapInArrow(_count, _COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("other").alias("other")), "counts")
+    words = counted.where(F.col("kind") == _WORD).select("key", "n")
+    grams = counted.where(F.col("kind") == _GRAM).select("key", "n", (F.col("n") + F.col("other")).alias("total"))
+    scores = stage_table(score_grams(grams), "scores")
+    facts = counted.where(F.col("kind") != _GRAM).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    facts = {r["kind"]: (r["n"], r["v"]) for r in facts}
+    ended, (total, kinds) = facts.get(_TEXTS, (0, 0))[0], facts.get(_WORD, (0, 0))
+    total, kinds = total + ended, kinds + (ended > 0)
     unit = total + 0.5 * (kinds + 1)
-    frequent = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
-    order = np.argsort(frequent["key"].to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast(
-        (_table(context_tree(counted.where("kind = 1"))), frequent["key"].to_numpy().view(np.uint64)[order], frequent["n"].to_numpy()[order], unit)
-    )
+    frequent = _most(words, "n", WORDS).toArrow()
+    keys = frequent["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    logs = np.log10((frequent["n"].to_numpy() + 0.5) / unit)
+    most = _most(scores, "total", GRAMS).toArrow()
+    tables = _tables(*(most[c].to_numpy() for c in ("key", "total", "score")))
+    shared = spark.sparkContext.broadcast((tables, keys[order], logs[order]))
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}["doc_id"]
-    schema = f"row long, doc_id {kind}, n_tokens long, n_frequent long, base double, score double, bytes long, rare array<long>"
+    schema = f"row long, doc_id {kind}, n_tokens long, n_frequent long, base double, score double, bytes long, rare_words array<long>, rare_grams array<long>"
     scored = stage_table(docs.select("doc_id", "text").mapInArrow(lambda batches: _score(batches, *shared.value), schema), "scored")
-    rare = scored.select("row", F.explode("rare").alias("key")).join(words, "key", "left")
-    seen = F.coalesce("n", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.log10((seen + 0.5) / unit)).alias("rare_base"), F.count("n").alias("rare_known"))
+    rare = scored.select("row", F.explode("rare_words").alias("key")).join(words, "key", "left")
+    rare = rare.groupBy("row").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / unit)).alias("rare_base"), F.count("n").alias("rare_known"))
+    more = scored.select("row", F.explode("rare_grams").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")).join(scores, "key")
+    more = more.groupBy("row").agg(F.sum(F.col("times") * F.col("score")).alias("rare_score"))
     end = math.log10((ended + 0.5) / unit)
-    out = scored.join(rare, "row", "left")
+    out = scored.drop("rare_words", "rare_grams").join(rare, "row", "left").join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("rare_score", F.lit(0.0)))
     return out.select(
         "doc_id", "n_tokens", (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0)) + int(ended > 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + end).alias("base_score"), "score", (-F.col("score") / math.log10(2) / F.col("bytes")).alias("bits_per_byte"),
