@@ -148,8 +148,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.when(F.octet_length(payload) >= REVISIT_BYTES, F.sha1(payload)).alias("digest"))
     repeated = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    linked = rows.join(repeated.select("digest", "first"), "digest", "left")
-    linked = linked.select(_ids("page_id"), "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).cast("string").alias("refers_to"))
+    linked = rows.where("digest is not null").join(repeated.select("digest", "first"), "digest", "left")
+    linked = linked.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    #: Short payloads take no part in the join: they have no digest to meet by.
+    linked = linked.unionByName(rows.where("digest is null").select("page_id", "url", "html", F.lit(None).cast(rows.schema["page_id"].dataType).alias("refers_to")))
+    linked = linked.select(_ids("page_id"), "url", "html", _ids("refers_to"))
     manifest = folder + "-manifest"
     linked.mapInPandas(lambda frames: _write(frames, folder), "name string, records long").write.parquet(manifest)
     return pages.sparkSession.read.schema("name string, records long").parquet(manifest)
