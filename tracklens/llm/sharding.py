@@ -10,6 +10,8 @@ size is bounded, passes through the driver.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,39 +21,82 @@ from .common import stage_table
 SHARDS = 16
 #: Rows of a part and of a block to aim at, and how many of either there may be.
 ROWS, PARTS, BLOCKS = 1_000_000, (32, 4096), 64
-#: numpy draws hypergeometric counts below this total.
-_EXACT = 1_000_000_000
 
 
-def _draw(rng: np.random.Generator, lacking: np.ndarray, n: int) -> np.ndarray:
-    """Counts of n rows over cells that lack so many; multivariate hypergeometric.
+def _stirling_error(n: int) -> float:
+    """ln n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n / n) / n / n) / n / n) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x, exact also where x is close to a large mean."""
+    v = (x - mean) / (x + mean)
+    if abs(v) > 0.1:
+        return x * math.log(x / mean) + mean - x
+    total, term, j = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        more = total + term / (2 * j + 1)
+        if more == total:
+            return total
+        total, j = more, j + 1
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """ln of the probability of x successes among n by the saddle-point form, which keeps its precision for any n."""
+    if x == 0 or x == n:
+        return n * math.log1p(-p if x == 0 else -q) if n else 0.0
+    errors = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x)
+    return errors - _deviance(x, n * p) - _deviance(n - x, n * q) - 0.5 * math.log(2 * math.pi * x * (n - x) / n)
+
 
-    Beyond numpy's range the counts come one by one from the normal law with the
-    hypergeometric mean and variance; they still add up and fit.
+def log_hypergeometric(k: int, good: int, bad: int, n: int) -> float:
+    """ln of the probability that k of n rows drawn from good + bad are good, but for a constant; 0 < n < good + bad."""
+    p, q = n / (good + bad), (good + bad - n) / (good + bad)
+    return _log_binomial(k, good, p, q) + _log_binomial(n - k, bad, p, q)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n rows drawn from good + bad are good, by the exact law at any size.
+
+    Rejection by the ratio of uniforms under Stadlober's universal hat: the number of
+    tries doesn't grow with the counts.
     """
-    if lacking.sum() < _EXACT:
-        return rng.multivariate_hypergeometric(lacking, n, method="marginals")
-    out, total = np.zeros_like(lacking), int(lacking.sum())
-    for k, good in enumerate(lacking.tolist()):
-        rest = total - good
-        if rest == 0 or n == 0:
-            out[k] = min(n, good)
-        else:
-            share = good / total
-            spread = (n * share * (1 - share) * (total - n) / max(total - 1, 1)) ** 0.5
-            out[k] = min(max(round(rng.normal(n * share, spread)), n - rest, 0), good, n)
-        n, total = n - int(out[k]), rest
+    total, low, high = good + bad, max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    share = good / total
+    mean = n * share
+    spread = mean * (1 - share) * (total - n) / (total - 1)
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(spread + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    top = log_hypergeometric((n + 1) * (good + 1) // (total + 2), good, bad, n)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= log_hypergeometric(k, good, bad, n) - top:
+            return k
+
+
+def _draw(rng: np.random.Generator, lacking: list[int], n: int) -> list[int]:
+    """Counts of n rows over cells that lack so many: multivariate hypergeometric, cell by cell."""
+    out, total = [], sum(lacking)
+    for good in lacking:
+        total -= good
+        out.append(hypergeometric(rng, good, total, n))
+        n -= out[-1]
     return out
 
 
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:
     """How many rows part p sends to cell c, for parts of counts rows and cells of sizes rows."""
     rng = np.random.default_rng(seed)
-    lacking = np.array(sizes, np.int64)
+    lacking = [int(x) for x in sizes]
     rows = []
     for n in counts:
         rows.append(_draw(rng, lacking, int(n)))
-        lacking = lacking - rows[-1]
+        lacking = [a - b for a, b in zip(lacking, rows[-1], strict=True)]
     return np.array(rows, np.int64).reshape(len(counts), len(sizes))
 
 
@@ -69,23 +114,23 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = 1, part
     shared folder once, so that a lost executor can't change what was counted.
     """
     own = [c for c in df.columns if c not in ("shard", "slot")]
-    row = [F.col(f"`{c}`") for c in own]
-    df = stage_table(df.select(*row), "rows")
+    #: One struct, so that no name of a column meets one of ours.
+    df = stage_table(df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")), "rows")
     total = df.count()
     parts = parts or min(max(-(-total // ROWS), PARTS[0]), PARTS[1])
     blocks = blocks or min(max(-(-total // (ROWS * shards)), 1), BLOCKS)
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), *row), F.lit(parts)).cast("int"))
+    dealt = df.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(parts)).cast("int"))
     counts = [0] * parts
-    for r in dealt.groupBy("_part").count().collect():
-        counts[r["_part"]] = r["count"]
+    for r in dealt.groupBy("part").count().collect():
+        counts[r["part"]] = r["count"]
     sizes = [b for s in split(total, shards) for b in split(s, blocks)]
     ends = np.cumsum(communication_matrix(counts, sizes, seed), axis=1)
-    bounds = df.sparkSession.createDataFrame([(p, e.tolist()) for p, e in enumerate(ends)], "_part int, _ends array<long>")
-    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed + 1), *row), *row)
-    sent = dealt.withColumn("_rank", F.row_number().over(local) - 1).join(bounds, "_part")
-    sent = sent.withColumn("_cell", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
-    sent = sent.withColumn("shard", F.floor(F.col("_cell") / blocks).cast("int")).withColumn("_block", F.col("_cell") % blocks)
-    arrival = Window.partitionBy("shard", "_block").orderBy(F.xxhash64(F.lit(seed + 2), *row), *row)
+    bounds = df.sparkSession.createDataFrame([(p, e.tolist()) for p, e in enumerate(ends)], "part int, ends array<long>")
+    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), "row"), "row")
+    sent = dealt.withColumn("rank", F.row_number().over(local) - 1).join(bounds, "part")
+    sent = sent.withColumn("cell", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
+    sent = sent.withColumn("shard", F.floor(F.col("cell") / blocks).cast("int")).withColumn("block", F.col("cell") % blocks)
+    arrival = Window.partitionBy("shard", "block").orderBy(F.xxhash64(F.lit(seed + 2), "row"), "row")
     size = F.lit(total // shards) + (F.col("shard") < total % shards).cast("long")
-    base = F.col("_block") * F.floor(size / blocks) + F.least(F.col("_block").cast("long"), size % blocks)
-    return sent.withColumn("slot", (base + F.row_number().over(arrival) - 1).cast("long")).select(*row, "shard", "slot")
+    base = F.col("block") * F.floor(size / blocks) + F.least(F.col("block").cast("long"), size % blocks)
+    return sent.select("row", "shard", (base + F.row_number().over(arrival) - 1).cast("long").alias("slot")).select("row.*", "shard", "slot")
