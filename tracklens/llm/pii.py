@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from .common import stage_table
 
 #: Fixed values, in the order in which ties are listed: kind, pattern, what a text must hold for it.
-#: Possessive quantifiers match the same and keep Java from recursing on long runs.
+#: Possessive quantifiers match the same and keep Java from recursing on long runs. A match
+#: can only begin where a run of its first characters does, or where the match before ended:
+#: the rest of a run fails as its beginning does, and isn't tried again at every character.
 KINDS = (
-    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]"),
-    ("ip", r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"),
+    ("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]"),
+    ("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"),
     ("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){13}"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
@@ -31,6 +33,8 @@ SHORTEST = 3
 SUPPORT = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
+#: Values of a text that one fold collects; its square root of them, where there are many.
+CHUNK = 64
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 _TERM = "array<struct<start:int,end:int,disclosure:double>>"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -53,21 +57,81 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _let(x: Column, then) -> Column:
+    """then(x), where x is worked out once."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
+def _chunks(array: Column) -> Column:
+    """An array as an array of arrays, each of CHUNK elements or of as many as there are chunks.
+
+    A fold copies what it has collected at every step; folds over chunks, and one over
+    their results, stay far below the square of an array's size.
+    """
+    size = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(array).cast("double"))).cast("int"))
+    starts = F.when(F.size(array) > 0, F.sequence(F.lit(1), F.size(array), size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.slice(array, k, size))
+
+
+def _laid_out(pairs: Column, kind: str, before, body, after, entry, good) -> Column:
+    """The good ones of pairs that lie one behind the other, with where they start.
+
+    before, body and after give a pair's lengths, entry(start, end, x) the element of
+    type kind, good(x) whether it counts.
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + before(x)
+        end = start + body(x)
+        return F.struct((end + after(x)).alias("at"), F.when(good(x), F.array_append(acc["out"], entry(start, end, x))).otherwise(acc["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    folded = F.transform(_chunks(pairs), lambda c: F.aggregate(c, begin, step))
+    moved = lambda c, by: F.transform(c["out"], lambda s: s.withField("start", s["start"] + by).withField("end", s["end"] + by))
+    outer = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.flatten(F.aggregate(folded, outer, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.array_append(acc["out"], moved(c, acc["at"])).alias("out")), lambda acc: acc["out"]))
+
+
 def _found(text: Column, number: int) -> Column:
     """Spans of one kind, from what splits the text and what stands between."""
     kind, pattern, needs = KINDS[number]
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), values.alias("value"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    spans = _let(pairs, lambda p: _laid_out(
+        p, _SPAN, lambda x: F.length(x["gap"]), lambda x: F.coalesce(F.length(x["value"]), F.lit(0)), lambda x: F.lit(0),
+        lambda start, end, x: F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["value"].alias("value")),
+        lambda x: x["value"].isNotNull() & _valid(kind, x["value"]),
+    ))
+    return F.when(text.rlike(needs), spans).otherwise(F.array().cast(_SPAN))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        good = x["value"].isNotNull() & _valid(kind, x["value"])
-        return F.struct(end.alias("at"), F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(needs), F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+def _rewritten(text: Column, spans: Column, new) -> Column:
+    """text with new(span, value, width) for each span of spans, sorted by start; what lies in two spans belongs to the first.
+
+    value is what the span covers of the text and width its code points that no span
+    before covers.
+    """
+
+    def pieces(part: Column, at: Column, c: Column) -> Column:
+        """A chunk's part of the text, which begins at at."""
+
+        def step(acc: Column, s: Column) -> Column:
+            start, end = F.greatest(acc["at"], s["start"] - at), F.greatest(acc["at"], s["end"] - at)
+            value = F.substring(part, s["start"] - at + 1, s["end"] - s["start"])
+            parts = F.array(F.substring(part, acc["at"] + 1, start - acc["at"]), new(s, value, end - start))
+            return F.struct(end.alias("at"), F.concat(acc["out"], parts).alias("out"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(c, begin, step, lambda acc: F.array_join(acc["out"], ""))
+
+    def outer(acc: Column, c: Column) -> Column:
+        end = F.greatest(acc["at"], F.array_max(F.transform(c, lambda s: s["end"])))
+        part = _let(F.substring(text, acc["at"] + 1, end - acc["at"]), lambda p: pieces(p, acc["at"], c))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], part).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.aggregate(_chunks(spans), begin, outer, rest)
 
 
 def base_spans(text: Column) -> Column:
@@ -85,15 +149,8 @@ def _words(text: Column) -> Column:
 
 def _covered(text: Column, spans: Column) -> Column:
     """text with every code point of its spans covered; positions stay."""
-    text = F.replace(text, F.lit(_COVER), F.lit(_OTHER))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        start = F.greatest(acc["at"], s["start"])
-        parts = F.array(F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(_COVER), F.greatest(s["end"] - start, F.lit(0))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], parts).alias("out"))
-
-    return F.aggregate(spans, begin, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""))
+    cover = lambda s, value, width: F.repeat(F.lit(_COVER), width)
+    return _let(F.replace(text, F.lit(_COVER), F.lit(_OTHER)), lambda t: _rewritten(t, spans, cover))
 
 
 def _open(word: Column) -> Column:
@@ -103,17 +160,13 @@ def _open(word: Column) -> Column:
 
 def _places(covered: Column, known: Column) -> Column:
     """Where the terms of the map known stand: array<struct<start, end, disclosure>>."""
+    share = lambda x: F.try_element_at(known, _clean(x["word"]))
     pairs = F.arrays_zip(F.split(covered, _SPACE, -1).alias("word"), F.regexp_extract_all(covered, F.lit(_SPACE), F.lit(0)).alias("gap"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_TERM).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["word"])
-        share = F.try_element_at(known, _clean(x["word"]))
-        entry = F.struct(acc["at"].alias("start"), end.alias("end"), share.alias("disclosure"))
-        out = F.when(_open(x["word"]) & share.isNotNull(), F.array_append(acc["out"], entry)).otherwise(acc["out"])
-        return F.struct((end + F.coalesce(F.length(x["gap"]), F.lit(0))).alias("at"), out.alias("out"))
-
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+    return _let(pairs, lambda p: _laid_out(
+        p, _TERM, lambda x: F.lit(0), lambda x: F.length(x["word"]), lambda x: F.coalesce(F.length(x["gap"]), F.lit(0)),
+        lambda start, end, x: F.struct(start.alias("start"), end.alias("end"), share(x).alias("disclosure")),
+        lambda x: _open(x["word"]) & share(x).isNotNull(),
+    ))
 
 
 def _disclosing(held: DataFrame, words: DataFrame, total: int) -> DataFrame:
@@ -175,31 +228,26 @@ def all_spans(base: Column, terms: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with sanitised texts: values become their kind, terms their class or nothing.
 
-    Overlapping spans are covered whole. A null text stays null; n_chars, if there, is
+    What overlapping spans cover goes; the first of them names it. A null text stays null; n_chars, if there, is
     counted anew where the text changed. All other columns pass through.
     """
-    spans = find_spans(docs).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), all_spans(F.col("base"), F.col("terms")).alias("_spans"))
-    spans = spans.where(F.size("_spans") > 0).groupBy("_doc", "_hash").agg(F.first("_spans").alias("_spans"))
+    spans = find_spans(docs).select("doc_id", "text_hash", all_spans(F.col("base"), F.col("terms")).alias("spans"))
+    spans = spans.where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
     names = F.array(*[F.lit(f"[{k[0].upper()}]") for k in KINDS])
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        value = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+    def new(s: Column, value: Column, width: Column) -> Column:
         general = F.when(value.rlike("[0-9]"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]"))
-        new = F.when(s["kind"] < len(KINDS), F.try_element_at(names, s["kind"] + 1)).when(s["disclosure"] < REMOVE, general).otherwise(F.lit(""))
-        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(before, new))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    def finish(acc: Column) -> Column:
-        rest = F.substring(F.col("text"), acc["at"] + 1, F.length("text"))
-        return F.array_join(F.concat(acc["out"], F.array(rest)), "")
-
-    rewritten = F.when(F.col("_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.aggregate("_spans", begin, step, finish))
-    joined = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = joined.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_hash")), "left").withColumn("_new", rewritten)
-    out = {c: F.col(f"`{c}`") for c in docs.columns}
+        kept = F.when(s["kind"] < len(KINDS), F.try_element_at(names, s["kind"] + 1)).when(s["disclosure"] < REMOVE, general).otherwise(F.lit(""))
+        return F.when(width == s["end"] - s["start"], kept).otherwise(F.lit(""))
+
+    #: One struct, so that no name of a column meets one of ours.
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others")
+    rows = docs.select(others, "text", F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    clean = F.when(F.col("spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(_rewritten(F.col("text"), F.col("spans"), new))
+    joined = joined.select("others", "spans", clean.alias("clean"))
+    out = {c: F.col(f"others.`{c}`") for c in docs.columns}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
-    out["text"] = F.col("_new").alias("text")
+        out["n_chars"] = F.when(F.col("spans").isNull(), F.col("others.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
+    out["text"] = F.col("clean").alias("text")
     return joined.select(*out.values())
