@@ -57,12 +57,13 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_
     The mix takes each document whole times, and part of its words once more; part is
     at most size, and below it for one document of a source at most. Texts are whole and
     counted whole; a null or empty text has size 0 and is not taken. Rows with a null
-    source form the last source. Repeated rows count each. Reruns agree. Columns of docs
+    source form the last source. Repeated rows count each; the order goes by a hash of id
+    and text, so that reruns agree also where an id or a null id has several texts. Columns of docs
     with the names of the added ones are replaced; all others pass through.
     """
     added = ["size", "source_size", "target", "whole", "part"]
     own = [c for c in docs.columns if c not in added]
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).cast("binary"))
     sized = docs.select(
         F.struct(*own).alias("row"), n_words(F.col("text")).alias("size"), key.alias("key"),
         F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"),
@@ -70,7 +71,7 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_
     buckets = sized.groupBy("src", "no_src", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("src", "no_src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("earlier", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
-    targets = source_targets(sized.select("src", "no_src", "size"), weights, max_epochs)
+    targets = source_targets(buckets.select("src", "no_src", F.col("bucket_size").alias("size")), weights, max_epochs)
     buckets = buckets.join(targets, ["src", "no_src"])
     within = Window.partitionBy("src", "no_src", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(buckets, ["src", "no_src", "bucket"])
@@ -84,16 +85,16 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of docs, each as often as taken; a part is a text's first words."""
-    mixed = mix(docs, **options)
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others")
+    mixed = mix(docs.select(others, "doc_id", "source", "text"), **options)
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     copies = F.concat(
         F.array_repeat(F.col("text"), F.col("whole").cast("int")),
         F.when(F.col("part") == 0, F.array().cast("array<string>")).when(F.col("part") == F.col("size"), F.array("text"))
         .otherwise(F.array(F.array_join(F.slice(words, 1, F.col("part").cast("int")), ""))),
     )
-    own = [c for c in docs.columns if c != "text"]
-    rows = mixed.where("whole > 0 or part > 0").select(*own, F.explode(copies).alias("text"))
-    return rows.select(*docs.columns)
+    rows = mixed.where("whole > 0 or part > 0").select("others", F.explode(copies).alias("text"))
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in docs.columns))
 
 
 #: The same in DuckDB SQL.
@@ -101,7 +102,7 @@ MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS no_src,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5('1|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+    md5('1|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(text, '')) AS key
   FROM documents),
 s0 AS (SELECT src, no_src, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY ALL),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY no_src, src) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS cap FROM s0),
