@@ -18,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import _seeded, mix64, slices, text_buffers
+from .common import _seeded, mix64, slices, stage_table, text_buffers
 
 WIDTHS, FILTERS, DIMENSIONS = (1, 2, 3), 8, 16
 PREFIXES = (4, 5, 6)
 FEATURE_BITS = 21
-#: Labelled rows of either class that the fit may take, and the largest text among them.
-SAMPLE, SAMPLE_BYTES = 1500, 20_000
+#: Labelled rows of either class that the fit may take, and bytes of all their texts together.
+SAMPLE, SAMPLE_BYTES = 1500, 32 << 20
 STEPS, BATCH = 700, 32
 #: Share of words that a step leaves out, so that a text's other words are learned as well.
 DROPPED = 0.3
@@ -245,23 +246,22 @@ def calibrate(model: Model, docs: DataFrame, known: DataFrame, fitted: tuple[int
 
     Rows are scored as score_documents scores them and counted by language, step of the
     logit and label, so that the driver sees counts only. fitted has the clean and toxic
-    rows that the fit took from the short texts; the short ones left stand for those as
-    well, so that cuts are chosen at the corpus's share of toxic rows. The logit is
-    shifted so that 0.5 is the best cut over all, then each language gets its own
-    threshold where that is better. Without clean rows, or with fewer toxic ones than a
-    threshold takes, nothing moves.
+    rows that the fit took; those left stand for these as well, so that cuts are chosen
+    at the corpus's share of toxic rows. The logit is shifted so that 0.5 is the best cut
+    over all, then each language gets its own threshold where that is better. Without
+    clean rows, or with fewer toxic ones than a threshold takes, nothing moves.
     """
-    rows = docs.where("text is not null").select("doc_id", "lang", "text", (F.octet_length("text") <= SAMPLE_BYTES).alias("short"))
+    rows = docs.where("text is not null").select("doc_id", "lang", "text")
     #: Scores are joined rather than texts, so that no text is shuffled.
-    scored = score_documents(rows, model, ("doc_id", "lang", "short")).select("doc_id", "lang", "short", "score").join(known.select("doc_id", "toxic").distinct(), "doc_id")
+    scored = score_documents(rows, model).select("doc_id", "lang", "score").join(known.select("doc_id", "toxic").distinct(), "doc_id")
     step = F.floor(F.log(F.col("score") / (1 - F.col("score"))) / LOGIT_STEP).cast("int")
-    counts = scored.groupBy("lang", step.alias("step"), "toxic", "short").agg(F.count("*").alias("n")).toPandas()
+    counts = scored.groupBy("lang", step.alias("step"), "toxic").agg(F.count("*").alias("n")).toPandas()
     toxic = counts["toxic"] == 1
     if counts["n"][toxic].sum() < CALIBRATED or toxic.all():
         return
     counts["weight"] = counts["n"].astype(float)
     for label, taken in enumerate(fitted):
-        own = counts["short"] & (counts["toxic"] == label)
+        own = counts["toxic"] == label
         counts.loc[own, "weight"] *= 1 + taken / max(counts["n"][own].sum(), 1)
 
     def best(own, at: float) -> tuple[float, float, float]:
@@ -279,24 +279,31 @@ def calibrate(model: Model, docs: DataFrame, known: DataFrame, fitted: tuple[int
 def train(docs: DataFrame, labels: DataFrame, held_out_of: int = 5) -> Model:
     """Fit on a bounded sample of labelled rows outside the held-out fold, calibrate on all others.
 
-    At most SAMPLE rows of either class are fitted, those first by a hash of their id
-    whose text has at most SAMPLE_BYTES bytes; a quarter of the ids, by another hash, is
-    left to calibrate, unless that has too few toxic rows. All labelled rows that are not
-    fitted calibrate, whatever their length. Rows without a label, id or text take no part.
+    At most SAMPLE rows of either class are fitted, those first by a hash of their id, of
+    any length as long as all their texts together have SAMPLE_BYTES bytes at most; a
+    quarter of the ids, by another hash, is left to calibrate, unless that has too few
+    toxic rows. All labelled rows that are not fitted calibrate. An id with several texts
+    or labels is fitted with the first of them by order. Rows without a label, id or text
+    take no part.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out_of
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(fold != 0).where("toxic in (0, 1)")
-    sized = docs.select("doc_id", "lang", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
     order = F.xxhash64("doc_id", F.lit(5))
     enough = known.where("toxic = 1").select("doc_id").distinct().count() >= 4 * CALIBRATED
     taken = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) != 0 if enough else F.lit(True)
     ids = [known.where(F.col("toxic") == c).where(taken).select("doc_id", "toxic").distinct().orderBy(order, "doc_id").limit(SAMPLE) for c in (0, 1)]
-    ids = ids[0].union(ids[1])
-    rows = sized.join(F.broadcast(ids), "doc_id").toPandas().sort_values(["doc_id", "toxic", "text"]).drop_duplicates(["doc_id"])
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id")
+    rows = stage_table(rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "text")).alias("one")).select("doc_id", "one.toxic", "one.text", order.alias("turn")), "sample")
+    chosen, held = [], 0
+    for r in sorted(rows.select("doc_id", "turn", F.octet_length("text").alias("n")).collect(), key=lambda r: (r["turn"], r["doc_id"])):
+        if held + r["n"] <= SAMPLE_BYTES:
+            chosen.append((r["doc_id"],))
+            held += r["n"]
+    fitted = docs.sparkSession.createDataFrame(chosen, docs.select("doc_id").schema)
+    rows = rows.join(F.broadcast(fitted), "doc_id", "left_semi").select("doc_id", "toxic", "text").toPandas().sort_values("doc_id")
     rows = rows.sample(frac=1, random_state=3)
     y = rows["toxic"].to_numpy()
     model = fit([t.encode() for t in rows["text"]], y)
-    fitted = docs.sparkSession.createDataFrame([(x,) for x in rows["doc_id"].tolist()], docs.select("doc_id").schema)
     calibrate(model, docs, known.join(F.broadcast(fitted), "doc_id", "left_anti"), (int((y == 0).sum()), int((y == 1).sum())))
     return model
 
@@ -313,18 +320,21 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """The columns keep, the score of each row's whole text, and whether it is rejected.
+    """The columns keep, the score of each row's whole text, its threshold, and whether it is rejected.
 
     Null and empty texts get the score of a text without words. A row is rejected if its
     score reaches its language's threshold; 0.5 where the language is null or unknown.
-    Repeated rows stay. Other columns of docs are not read.
+    Repeated rows stay. Columns of keep with the names of the added ones are replaced;
+    other columns of docs are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double"
-    scored = docs.select(*keep, F.col("text").alias("_read")).mapInArrow(lambda batches: _score(batches, Model(**shared.value)), schema)
+    keep = [c for c in keep if c not in ("score", "threshold", "rejected")]
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    asked = docs.select(row, F.col("lang").alias("lang"), F.col("text").alias("text"))
+    schema = StructType([*asked.schema.fields[:2], StructField("score", DoubleType())])
+    scored = asked.mapInArrow(lambda batches: _score(batches, Model(**shared.value)), schema)
     limit = F.lit(0.5)
     if model.thresholds:
         table = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
         limit = F.coalesce(F.try_element_at(table, F.coalesce("lang", F.lit(""))), F.lit(0.5))
-    return scored.withColumn("threshold", limit).withColumn("rejected", F.col("score") >= F.col("threshold"))
+    return scored.select("row.*", "score", limit.alias("threshold"), (F.col("score") >= limit).alias("rejected"))
