@@ -19,10 +19,13 @@ SLICE_BYTES = 1 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder takes its place.
+    Where that is unset a local session, whose executors are the driver, takes a
+    temporary folder; on a cluster it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(spark, "_tracklens_folder", None)
         if folder is None:
             folder = "file://" + tempfile.mkdtemp(prefix="tracklens-")
