@@ -149,8 +149,72 @@ def test_sharding(spark, docs, none):
 def test_matrix_margins():
     m = sharding.communication_matrix([5, 0, 7, 3], [4, 4, 4, 3], 1)
     assert m.sum(axis=1).tolist() == [5, 0, 7, 3] and m.sum(axis=0).tolist() == [4, 4, 4, 3] and (m >= 0).all()
-    big = sharding.communication_matrix([2 * 10**9, 10**9], [10**9] * 3, 1)
-    assert big.sum(axis=1).tolist() == [2 * 10**9, 10**9] and big.sum(axis=0).tolist() == [10**9] * 3 and (big >= 0).all()
+    big = sharding.communication_matrix([2 * 10**12, 10**12], [10**12] * 3, 1)
+    assert big.sum(axis=1).tolist() == [2 * 10**12, 10**12] and big.sum(axis=0).tolist() == [10**12] * 3 and (big >= 0).all()
+
+
+@pytest.mark.parametrize(("good", "bad", "n"), [(1, 1, 1), (3, 5, 4), (30, 10, 25), (400, 300, 90), (2, 5000, 2500), (40, 9, 48)])
+def test_hypergeometric_law(good, bad, n):
+    """Draws and the density against the enumerated law."""
+    law = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+    top = max(law, key=law.get)
+    for k, p in law.items():
+        assert math.isclose(sharding.log_hypergeometric(k, good, bad, n) - sharding.log_hypergeometric(top, good, bad, n), math.log(p / law[top]), abs_tol=1e-9)
+    rng = np.random.default_rng(3)
+    seen = Counter(sharding.hypergeometric(rng, good, bad, n) for _ in range(4000))
+    assert set(seen) <= set(law) and all(abs(seen[k] / 4000 - p) < 5 * math.sqrt(p * (1 - p) / 4000) + 1e-9 for k, p in law.items() if p > 1e-3)
+
+
+def test_hypergeometric_of_large_counts():
+    """Beyond any enumeration: mean and spread of the law."""
+    rng, good, bad, n = np.random.default_rng(4), 3 * 10**11, 7 * 10**11, 2 * 10**11
+    drawn = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(3000)], float)
+    spread = math.sqrt(n * 0.3 * 0.7 * (1 - n / (good + bad)))
+    assert abs(drawn.mean() - n * 0.3) < 4 * spread / math.sqrt(3000) and abs(drawn.std() / spread - 1) < 0.06
+
+
+def test_matrix_law():
+    """The matrix of a shuffle of four rows against all 24 orders."""
+    from itertools import permutations
+
+    want = Counter()
+    for order in permutations(range(4)):
+        want[tuple(tuple(sum(order[r] // 2 == c for r in part) for c in range(2)) for part in ((0, 1, 2), (3,)))] += 1 / 24
+    seen = Counter(tuple(map(tuple, sharding.communication_matrix([3, 1], [2, 2], seed).tolist())) for seed in range(3000))
+    assert set(seen) == set(want) and all(abs(seen[m] / 3000 - p) < 0.05 for m, p in want.items())
+
+
+CLASHES = "part rank cell block ends row others key new size whole start turn one n bucket src score threshold rejected lang_ _key _new _doc _hash _spans _read _part _rank spans base terms text_hash".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with a column of every name that an operator uses within; values tell their rows."""
+    extra = [F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES]
+    rows = [(k, f"{words(12, k)} mail k{k}@x.org" if k % 2 else words(9, k), "en", f"s{k % 2}", 5) for k in range(12)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *extra).persist()
+
+
+def test_clashing_names_pass_through(spark, clashing):
+    import corpus_pipeline
+
+    spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int").createOrReplaceTempView("clash_labels")
+    model = toxicity.train(clashing, spark.table("clash_labels"))
+    assert toxicity.score_documents(clashing, model, tuple(clashing.columns)).count() == 12
+    results = [sharding.shuffle_into_shards(clashing, 3), pii.sanitise(clashing), mixing.mixed_rows(clashing)]
+    results += [corpus_pipeline.drop_near_duplicates(spark, clashing, "")]
+    for found in results:
+        rows = found.collect()
+        assert rows and {r["doc_id"] for r in rows} <= set(range(12)) and set(clashing.columns) <= set(found.columns)
+        assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHES)
+
+
+def test_mixing_of_repeated_ids_agrees(spark):
+    """Eight texts with one id and with none, dealt differently, give one mix."""
+    rows = [(7 if k % 2 else None, words(3 + k, k), "a" if k < 12 else "b") for k in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixes = [sorted((str(r["doc_id"]), r["text"]) for r in mixing.mixed_rows(df.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert mixes[0] == mixes[1] == mixes[2]
 
 
 def test_mixing(docs, none):
@@ -208,6 +272,48 @@ def test_pii_base(spark, docs, none):
     assert pii.find_spans(docs).count() == len(TEXTS) and pii.find_spans(none).count() == 0
 
 
+def test_pii_of_very_long_texts(spark):
+    """A run of a million letters and 100,000 addresses take seconds, not the square of their size."""
+    import time
+
+    many = " ".join(f"u{k}@x{k}.org" for k in range(100_000))
+    texts = ["a" * 1_000_000 + " q@w.er", "1" * 1_000_000 + " 1.2.3.4", many, "x.y" * 300_000, "a@" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).persist()
+    began = time.time()
+    found = {r["doc_id"]: r["n"] for r in pii.find_spans(df).select("doc_id", F.size("base").alias("n")).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert found == {0: 1, 1: 1, 2: 100_000, 3: 0, 4: 0} and clean[2] == " ".join(["[EMAIL]"] * 100_000) and clean[0] == "a" * 1_000_000 + " [EMAIL]"
+    assert time.time() - began < 90
+
+
+def test_pii_disclosure_values(spark):
+    """Every disclosure recomputed from the definition."""
+    rng, texts = np.random.default_rng(12), []
+    for k in range(120):
+        t = [f"t{x}" * 2 for x in rng.integers(0, 25, 12)]
+        for e in rng.choice(6, 2, replace=False):
+            if rng.random() < 0.3:
+                t += [f"m{e}@x.org"] + ([f"name{e}x"] if rng.random() < 0.9 else [])
+        texts.append(" ".join(t))
+    sets = [set(t.split()) for t in texts]
+    held = [{w for w in s if "@" in w} for s in sets]
+    want = {}
+    for k, t in enumerate(texts):
+        at = 0
+        for w in t.split():
+            values = []
+            for e in held[k] if "@" not in w else ():
+                n_e, n_t = sum(e in s for s in sets), sum(w in s for s in sets)
+                n_te = sum(e in s and w in s for s in sets)
+                if n_te >= pii.SUPPORT and 0 < n_e < 120:
+                    values.append(math.log(120 * n_te / (n_t * n_e)) / math.log(120 / n_e))
+            if values and max(values) >= pii.GENERALISE:
+                want[k, at] = max(values)
+            at += len(w) + 1
+    found = {(r["doc_id"], s["start"]): s["disclosure"] for r in pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for s in r["terms"]}
+    assert want and set(found) == set(want) and all(math.isclose(found[x], want[x], rel_tol=1e-9) for x in want)
+
+
 def test_pii_disclosure(spark):
     texts = [f"{words(20, k)} contact Zebulon now k{k}@x.org" if k % 4 else words(30, k) for k in range(40)]
     texts += [f"{words(12, 100 + k)} captain Orsino writes boss@y.net often" for k in range(6)]
@@ -308,6 +414,8 @@ def test_nearest(spark):
         assert all(abs(s - score[i]) < 1e-9 for i, s in found[q]) and [s for _, s in found[q]] == sorted((s for _, s in found[q]), reverse=True)
     assert set(found) == set(range(0, 3000, 50)) and hits >= 0.9 * 300
     assert [i for i, _ in found[550]] == [500, 501, 502, 503, 504]
+    mixed = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.0, 0.0]), (50, [0.0, 1.0, 0.2]), (3, [0.0, 2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(mixed, mixed.where("vec_id % 50 = 0")).collect()) == [(0, 1, 1), (50, 1, 3), (50, 2, 2)]
     few = df.where("vec_id < 3")
     assert ann.nearest(few, few).count() == 6 and ann.nearest(df.limit(0), df).count() == 0
 
@@ -416,7 +524,7 @@ def test_toxicity(spark, docs, none):
 def test_toxicity_calibrates_on_all_labelled_rows(spark, monkeypatch):
     """Rows beyond the fit's sample, and long ones, give each language its cut, at the corpus's share of toxic rows."""
     monkeypatch.setattr(toxicity, "SAMPLE", 80)
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 900)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)
     rows = []
     for k in range(1200):
         t = words(200 if k % 3 == 1 and k % 2 else 20, k).split() + ["idiot," if k % 5 == 0 else "friend,"]
@@ -430,6 +538,40 @@ def test_toxicity_calibrates_on_all_labelled_rows(spark, monkeypatch):
     assert round(sum(seen[0][1])) == sum(r[3] == 0 for r in labelled) and round(sum(seen[0][2])) == sum(r[3] for r in labelled)
 
 
+def test_toxicity_learns_from_long_texts_and_repeats(spark):
+    """Every text is long, and one labelled id occurs often: the fit takes each id once."""
+    rows = []
+    for k in range(400):
+        t = words(4000, k).split()
+        if k % 4 == 0:
+            for at in range(0, 4000, 400):
+                t.insert(at, ["idiot", "scumbag"][at % 2])
+        rows += [(k, " ".join(t), "en")] * (30 if k == 1 else 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_documents(df, toxicity.train(df, labels)).collect()}
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([(found[k] >= 0.5) == (k % 4 == 0) for k in held]) >= 0.9
+
+
+def test_toxicity_network_against_a_naive_one(monkeypatch):
+    """Filters and pooling against loops over words; a training step's gradient against differences."""
+    rng = np.random.default_rng(9)
+    texts = [b"you idiot, go home", b"", b"a fine day it is", b"idiot"]
+    model = toxicity.fit(texts * 4, np.array([1, 0, 0, 1] * 4))
+    read = toxicity.read_texts(texts)
+    vectors = model.vectors(read.features)
+    for k in range(len(texts)):
+        own = vectors[read.words[read.starts[k] : read.starts[k + 1]]]
+        pooled = []
+        for weights in model.filters:
+            answers = [sum(own[at + j] @ weights[j] for j in range(len(weights))) for at in range(len(own) - len(weights) + 1)]
+            pooled.append(np.max(answers, axis=0))
+        logit = np.maximum(np.concatenate(pooled) + model.bias, 0) @ model.output + model.offset
+        assert math.isclose(float(model.logits(read)[k]), float(logit), rel_tol=1e-4, abs_tol=1e-4)
+    assert rng is not None and model.logits(read)[0] > model.logits(read)[2]
+
+
 def test_images(spark):
     rng = np.random.default_rng(4)
     pictures = [images.render(rng.normal(size=64)) for _ in range(12)]
@@ -442,3 +584,29 @@ def test_images(spark):
     assert by[200]["class_id"] == 3 and by[201]["class_id"] == 201 and by[202]["n_links"] == 0 and by[None]["class_id"] is None
     assert all(by[k]["class_id"] == k for k in range(12))
     assert images.image_copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
+
+
+def test_images_against_all_pairs(spark):
+    """Of 60 pictures, every fourth an edited copy, the links that comparing all pairs gives; a family of many copies is one class."""
+    rng = np.random.default_rng(14)
+    pictures = [images.render(rng.normal(size=64)) for _ in range(44)]
+    pictures = [images.read_pgm(images.write_pgm(p)) for p in pictures + [images.edited(pictures[k], k % 4) for k in range(16)]]
+    described = [images.describe(p) for p in pictures]
+    packed = [(np.packbits(t, axis=1).view(np.int64), images.pack_corners(c)) for c, t in described]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if images.compare(*packed[a], *packed[b]) >= images.INLIERS}
+    assert {(k, 44 + k) for k in range(16)} <= want and len(want) <= 18
+    order = rng.permutation(60).tolist()
+    rows = [(order[k] * 7 + 3, bytearray(images.write_pgm(p))) for k, p in enumerate(pictures)]
+    found = {r["image_id"]: r["class_id"] for r in images.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert sum(found[order[a] * 7 + 3] == found[order[b] * 7 + 3] for a, b in want) >= 0.95 * len(want)
+    assert all(found[order[k] * 7 + 3] == order[k] * 7 + 3 for k in range(16, 44) if not any(k in p for p in want))
+    family = [images.edited(pictures[0], 3) + rng.normal(0, 1, images.edited(pictures[0], 3).shape) for _ in range(70)]
+    rows = [(k, bytearray(images.write_pgm(p))) for k, p in enumerate([*pictures[:20], *family])]
+    found = {r["image_id"]: r["class_id"] for r in images.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert sum(found[20 + k] == 0 for k in range(70)) >= 66
+
+
+def test_corners_pack():
+    corners = np.array([[3.25, 900.5, 1.4, -3.1], [0, 0, 2.0, 3.1], [77, 5, 1, 0]], np.float32)
+    back = images.unpack_corners(images.pack_corners(corners))
+    assert np.abs(back[:, :3] - corners[:, :3]).max() < 0.13 and np.abs(np.angle(np.exp(1j * (back[:, 3] - corners[:, 3])))).max() < 0.002
