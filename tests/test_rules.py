@@ -125,3 +125,34 @@ def test_listing(spark, tmp_path):
     assert names(list_files(spark, str(tmp_path))) == ["a.flac", "b.FLAC"]
     assert names(list_files(spark, str(tmp_path), originals=True)) == ["c.orig.flac", "d.ORIG.Flac"]
     assert names(list_documents(spark, str(tmp_path))) == ["f.pdf", "g.PDF"]
+
+
+def test_subframe_without_type(spark):
+    """A residual's type isn't the subframe's."""
+    from tracklens.sources.logs import parse_analysis
+
+    lines = spark.createDataFrame([(1, "\tsubframe=0\twasted_bits=0\tresidual_type=RICE\tpartition_order=3"), (1, "\tsubframe=1\ttype=LPC\torder=8\tresidual_type=RICE")], "file_id long, value string")
+    assert [(r["type"], r["lpc_order"]) for r in parse_analysis(lines)[1].orderBy("subframe").collect()] == [(None, None), ("LPC", 8)]
+
+
+def test_digest_streams_files_in_order(spark):
+    import hashlib
+
+    from tracklens.operators.spectrum import audio_digest
+
+    rows = [(f, w, 44100, 16, 2, bytearray(bytes([f, w]) * (4 * (w + 1)))) for f in range(5) for w in range(f * 7)] + [(9, 0, 44100, 0, 0, bytearray(b"xy"))]
+    df = spark.createDataFrame(rows, "file_id long, window_idx long, sample_rate int, bits_per_sample int, channels int, raw binary").repartition(7)
+    want = {f: hashlib.md5(b"".join(bytes(r[5]) for r in rows if r[0] == f)).hexdigest() for f in {r[0] for r in rows}}
+    found = {r["file_id"]: r for r in audio_digest(df).collect()}
+    assert {f: r["md5_hex"] for f, r in found.items()} == want and found[9]["samples"] == 0
+
+
+def test_unusable_files(spark):
+    """Without a rate, channels or whole bytes, with few fine bands or one window a file has an error and no verdict."""
+    from tracklens.jobs.inspect import inspect_library
+
+    formats = [(1, 44100, 16, 1), (2, 0, 16, 1), (3, 44100, 16, 0), (4, 44100, 4, 1), (5, 29000, 16, 1), (6, 44100, 16, 1)]
+    rows = [(f, 8 * w, rate, bits, channels, bytearray(bytes(range(1, 129)))) for f, rate, bits, channels in formats for w in range(1 if f == 6 else 3)]
+    windows = spark.createDataFrame(rows, "file_id long, window_idx long, sample_rate int, bits_per_sample int, channels int, raw binary")
+    found = inspect_library(spark.createDataFrame([f[:1] + f[2:3] for f in formats], "file_id long, bits_per_sample int"), windows, 64)
+    assert {r["file_id"]: r["inspect_error"] for r in found.collect()} == {1: None} | {k: "fake_unusable" for k in (2, 3, 4, 5, 6)}

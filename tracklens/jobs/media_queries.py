@@ -11,7 +11,9 @@ from tracklens.operators import plan, rules, spectrum, summary
 from tracklens.sources import headers as flac
 from tracklens.sources import logs
 
+from . import inspect
 from .audit_queries import FULL, full_report
+from .spectrum_queries import READ
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -164,7 +166,7 @@ def a16(spark, d):
     return plan.reclaimable(plan.pair_originals(fixture(spark, d, "fx_originals"), fixture(spark, d, "fx_listing")))
 
 
-@query("j11_backup_conflicts", "SELECT h.path FROM fx_headers h WHERE lower(regexp_replace(h.path, '[.][^./]*$', '') || '.orig.flac') IN (SELECT lower(path) FROM fx_originals)")
+@query("j11_backup_conflicts", "SELECT h.path FROM fx_headers h WHERE regexp_replace(h.path, '[.][^./]*$', '') || '.orig.flac' IN (SELECT path FROM fx_originals)")
 def j11(spark, d):
     return plan.backup_conflicts(fixture(spark, d, "fx_headers"), fixture(spark, d, "fx_originals")).select("path")
 
@@ -326,10 +328,10 @@ def p0(spark, d):
     return blocks.select("path", "b.block_idx", "b.block_type", F.length("b.data").alias("size"))
 
 
-@query("s10_patch_header", "SELECT path, sample_rate, channels, bits_per_sample, total_samples + 5 AS total_samples, md5(path) AS md5_hex FROM fx_headers WHERE error IS NULL AND file_id % 4 <> 1")
+@query("s10_patch_header", "SELECT path, sample_rate, channels, bits_per_sample, total_samples + 5 AS total_samples, md5(path) AS md5_hex FROM fx_headers WHERE error IS NULL")
 def s10(spark, d):
-    facts = fixture(spark, d, "fx_headers").where("error is null and file_id % 4 <> 1")
-    files = facts.join(head_bytes(spark, d), "path").withColumns({"content": F.col("head"), "streaminfo_offset": F.lit(8), "total_samples": F.col("total_samples") + 5, "md5_hex": F.md5(F.col("path").cast("binary"))})
+    facts = fixture(spark, d, "fx_headers").where("error is null")
+    files = facts.join(head_bytes(spark, d), "path").withColumns({"content": F.col("head"), "streaminfo_offset": flac.streaminfo_offset(F.col("head")), "total_samples": F.col("total_samples") + 5, "md5_hex": F.md5(F.col("path").cast("binary"))})
     patched = flac.patch_header(files).select("path", F.col("patched").alias("head"))
     return flac.unpack_headers(flac.read_blocks(patched)).select("path", "sample_rate", "channels", "bits_per_sample", "total_samples", "md5_hex")
 
@@ -386,9 +388,10 @@ def a17(spark, d):
     return spectrum.signal_levels(pcm(spark, d), LENGTH).select("file_id", F.round("peak_db", 6).alias("peak_db"), F.round("rms_db", 6).alias("rms_db"))
 
 
-@query("a18_audio_digest", "SELECT CAST(file_id AS BIGINT) AS file_id, count(*) * 64 AS samples FROM fx_vectors GROUP BY file_id")
+@query("a18_audio_digest", f"""{PCM}, h AS (SELECT *, CAST(x * 32768 AS BIGINT) & 65535 AS word FROM w)
+  SELECT CAST(file_id AS BIGINT) AS file_id, count(*) AS samples, md5(unhex(string_agg(CASE WHEN bits_per_sample = 24 THEN '00' ELSE '' END || printf('%02x%02x', word & 255, word >> 8), '' ORDER BY window_idx, i))) AS md5_hex FROM h GROUP BY file_id""")
 def a18(spark, d):
-    return spectrum.audio_digest(pcm(spark, d)).select("file_id", "samples")
+    return spectrum.audio_digest(pcm(spark, d)).select("file_id", "samples", "md5_hex")
 
 
 @query("w2_band_grid", """WITH r AS (SELECT DISTINCT sample_rate, sample_rate * 0.475 AS top FROM fx_headers WHERE sample_rate <= 192000), n AS (SELECT unnest(range(0, 64)) AS n),
@@ -436,3 +439,27 @@ def p5(spark, d):
 def f7(spark, d):
     path = F.col("path")
     return fixture(spark, d, "fx_originals").select("path", fmt.is_original(path).alias("is_original"), fmt.replacement_path(path).alias("replacement"), fmt.backup_path(fmt.replacement_path(path)).alias("backup"))
+
+
+#: From PCM to verdicts: energies on each rate's own grid, levels, then the readings of the band table.
+INSPECT = f"""{PCM}, r AS (SELECT DISTINCT sample_rate, sample_rate * 0.475 AS top FROM fx_vectors), n AS (SELECT unnest(range(0, 64)) AS n),
+  cells AS (SELECT DISTINCT sample_rate, hz FROM (SELECT sample_rate, top, CAST(round_even(rung * 0.49 / 500, 0) * 500 AS BIGINT) + k * 500 AS hz FROM r, (SELECT unnest([44100, 88200, 176400, 48000, 96000, 192000]) AS rung, unnest([1, 1, 1, 0, 0, 0]) AS fam), (SELECT unnest([-2, -1, 0, 1, 2]) AS k)
+    WHERE rung < sample_rate AND fam = CASE WHEN sample_rate % 11025 = 0 THEN 1 ELSE 0 END AND sample_rate > 48000) WHERE hz > 25000 AND hz < top),
+  grid AS (SELECT sample_rate, 14000 + 500 * n AS hz, 0 AS cell FROM r, n WHERE n <= 22 AND 14000 + 500 * n < top UNION ALL SELECT sample_rate, hz, 500 FROM cells UNION ALL SELECT sample_rate, 0, 0 FROM r
+    UNION ALL SELECT sample_rate, 26000 + 2000 * n, 2000 FROM r, n WHERE sample_rate > 48000 AND 26000 + 2000 * n <= floor(top) AND NOT EXISTS (SELECT 1 FROM cells WHERE cells.sample_rate = r.sample_rate AND cells.hz = 26000 + 2000 * n)),
+  s AS (SELECT *, x * (0.35875 - 0.48829 * cos(2 * pi() * i / 63) + 0.14128 * cos(4 * pi() * i / 63) - 0.01168 * cos(6 * pi() * i / 63)) AS y, ((window_idx // 8 + 1) * 0.6180339887498949) % 1 - 0.5 AS move FROM w WHERE window_idx % 8 = 0),
+  e AS (SELECT file_id, sample_rate, window_idx, hz, pow(sum(y * cos(2 * pi() * i * f / sample_rate)), 2) + pow(sum(y * sin(2 * pi() * i * f / sample_rate)), 2) AS e
+    FROM (SELECT s.*, hz, CASE WHEN hz = 0 THEN 1000 ELSE hz + move * cell END AS f FROM s JOIN grid USING (sample_rate)) GROUP BY ALL),
+  t AS (SELECT file_id, sample_rate, hz, sum(e) AS energy, count(*) AS taken FROM e GROUP BY ALL),
+  pcm_bands AS (SELECT CAST(t.file_id AS BIGINT) AS file_id, t.sample_rate, t.hz, 10 * log10(t.energy / z.energy + 1e-30) AS db FROM t JOIN t z ON z.file_id = t.file_id AND z.hz = 0 WHERE t.hz > 0 AND z.energy > 0 AND z.taken >= 2),
+  {READ.replace("fx_bands", "pcm_bands")},
+  facts AS (SELECT DISTINCT CAST(file_id AS BIGINT) AS file_id, CASE WHEN bits_per_sample = 24 THEN 16 ELSE 0 END AS real_bits, bits_per_sample FROM fx_vectors)
+"""
+
+
+@query("inspect_library", f"""{INSPECT} SELECT facts.file_id, CASE WHEN v.file_id IS NULL THEN 'fake_unusable' END AS inspect_error, CASE WHEN explained THEN 0 ELSE cut0 END AS cutoff_hz, src AS source_rate, why AS content_why, content AS content_hz,
+  enough AS enough_rate, CASE WHEN v.file_id IS NULL THEN 0 ELSE real_bits END AS real_bits, v.file_id IS NOT NULL AND real_bits > 0 AS padded_depth FROM facts LEFT JOIN verdict v USING (file_id)""")
+def inspect_library(spark, d):
+    windows = pcm(spark, d)
+    found = inspect.inspect_library(windows.select("file_id", "bits_per_sample").distinct(), windows, LENGTH)
+    return found.select("file_id", "inspect_error", "cutoff_hz", "source_rate", "content_why", "content_hz", "enough_rate", "real_bits", "padded_depth")

@@ -140,9 +140,9 @@ def reclaimable(paired: DataFrame) -> DataFrame:
 
 
 def backup_conflicts(targets: DataFrame, originals: DataFrame) -> DataFrame:
-    """targets whose original can't be put aside, as one is there already."""
-    taken = originals.select(F.lower("path").alias("backup")).distinct()
-    return targets.withColumn("backup", F.lower(backup_path(F.col("path")))).join(taken, "backup", "left_semi").drop("backup")
+    """targets whose original can't be put aside, as one of exactly that name is there already."""
+    taken = originals.select(F.col("path").alias("backup")).distinct()
+    return targets.withColumn("backup", backup_path(F.col("path"))).join(taken, "backup", "left_semi").drop("backup")
 
 
 def transcode_plan(videos: DataFrame, scale: str | None = None, audio_bitrate: str = "192k") -> DataFrame:

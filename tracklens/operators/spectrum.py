@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A window's samples, how many windows one stands for, the step that moves coarse bands, the reference.
 WINDOW, STRIDE, GOLDEN, REFERENCE_HZ, LEVEL_SECONDS = 4096, 8, 0.6180339887498949, 1000, 60
+#: Fixed value: fine bands that a file needs at least.
+FINE_BANDS = 3
 #: The terms of the window function.
 TERMS = (0.35875, -0.48829, 0.14128, -0.01168)
 
@@ -55,39 +57,58 @@ def dead_bytes(raw: bytes, width: int) -> int:
     return int(min(used[0] if len(used) else width, width - 1))
 
 
-def _measure(batches: Iterator[pa.RecordBatch], bands: list[tuple[int, int]], length: int, stride: int) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], length: int, stride: int) -> Iterator[pa.RecordBatch]:
+    """Energies of a batch's windows: those of one format together, and with one move those of one turn."""
     shape = window_function(length)
     for batch in batches:
-        rows = batch.to_pylist()
         out: dict[tuple[int, int], float] = {}
         files: dict[int, list[int]] = {}
-        for row in rows:
-            top = row["sample_rate"] / 2 * 0.95
-            width = row["bits_per_sample"] // 8
-            x = decode_pcm(row["raw"], row["bits_per_sample"], row["channels"]).mean(axis=1) * shape
-            turn = row["window_idx"] // stride + 1
-            move = (turn * GOLDEN) % 1 - 0.5
-            own = [(hz, hz + move * cell) for hz, cell in bands if hz < top]
-            energy = band_energy(x[None], row["sample_rate"], np.array([REFERENCE_HZ, *[f for _, f in own]], float))[0]
-            for hz, e in zip([0, *[hz for hz, _ in own]], energy.tolist(), strict=True):
-                out[row["file_id"], hz] = out.get((row["file_id"], hz), 0.0) + e
-            dead = dead_bytes(row["raw"], width)
-            held = files.setdefault(row["file_id"], [dead, 0])
-            held[0], held[1] = min(held[0], dead), held[1] + 1
+        groups: dict[tuple, list[dict]] = {}
+        for row in batch.to_pylist():
+            bands = tuple((b["hz"], b["cell"]) for b in row["bands"])
+            groups.setdefault((row["sample_rate"], row["bits_per_sample"], row["channels"], bands), []).append(row)
+        for (rate, bits, channels, bands), rows in groups.items():
+            samples = decode_pcm(b"".join(r["raw"] for r in rows), bits, channels).mean(axis=1).reshape(len(rows), length) * shape
+            still = [0, *[hz for hz, cell in bands if not cell]]
+            energy = {hz: e for hz, e in zip(still, band_energy(samples, rate, np.array([REFERENCE_HZ, *still[1:]], float)).T, strict=True)}
+            moving = [(hz, cell) for hz, cell in bands if cell]
+            turns = np.array([r["window_idx"] // stride + 1 for r in rows])
+            for turn in np.unique(turns) if moving else ():
+                own = turns == turn
+                moved = np.array([hz + ((turn * GOLDEN) % 1 - 0.5) * cell for hz, cell in moving])
+                for (hz, _), e in zip(moving, band_energy(samples[own], rate, moved).T, strict=True):
+                    energy.setdefault(hz, np.zeros(len(rows)))[own] = e
+            ids = [r["file_id"] for r in rows]
+            for hz, values in energy.items():
+                for file_id, e in zip(ids, values.tolist(), strict=True):
+                    out[file_id, hz] = out.get((file_id, hz), 0.0) + e
+            for r in rows:
+                held = files.setdefault(r["file_id"], [bits, 0])
+                held[0], held[1] = min(held[0], dead_bytes(r["raw"], bits // 8)), held[1] + 1
         items = [(f, hz, e, None, None) for (f, hz), e in out.items()] + [(f, -1, 0.0, d, n) for f, (d, n) in files.items()]
         columns = list(zip(*items, strict=True)) or [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file_id", "hz", "energy", "dead", "windows"])
 
 
-def measure(windows: DataFrame, bands: list[tuple[int, int]], length: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+def measure(windows: DataFrame, bands: list[tuple[int, int]] | None = None, length: int = WINDOW, stride: int = STRIDE) -> DataFrame:
     """(file_id, hz, energy, dead, windows): sums of energies, hz 0 the reference; hz -1 the depth.
 
-    bands are (hz, width of the cell that jitter moves it in), fine ones with width 0.
-    windows have file_id, window_idx, sample_rate, bits_per_sample, channels and raw.
+    bands are (hz, width of the cell that jitter moves it in), fine ones with width 0;
+    without them every rate has its own grid. windows have file_id, window_idx,
+    sample_rate, bits_per_sample, channels and raw. Formats without a rate, channels or
+    whole bytes, and grids with too few fine bands, can't be measured and have no rows.
     """
-    taken = sample_windows(windows, length, stride).select("file_id", "window_idx", "sample_rate", "bits_per_sample", "channels", "raw")
-    part = taken.mapInArrow(lambda batches: _measure(batches, bands, length, stride), "file_id long, hz long, energy double, dead int, windows long")
+    rate = F.col("sample_rate")
+    if bands is None:
+        grid = grid_bands(rate)
+        enough = F.size(F.filter(grid, lambda b: b["cell"] == 0)) >= FINE_BANDS
+    else:
+        given = F.array(*[F.struct(F.lit(hz).cast("long").alias("hz"), F.lit(cell).alias("cell")) for hz, cell in bands])
+        grid, enough = F.filter(given, lambda b: b["hz"] < rate / 2 * 0.95), F.lit(True)
+    sound = windows.where((rate > 0) & (F.col("channels") > 0) & (F.col("bits_per_sample") >= 8)).where(enough)
+    taken = sample_windows(sound, length, stride).select("file_id", "window_idx", "sample_rate", "bits_per_sample", "channels", "raw", grid.alias("bands"))
+    part = taken.mapInArrow(lambda batches: _measure(batches, length, stride), "file_id long, hz long, energy double, dead int, windows long")
     return part.groupBy("file_id", "hz").agg(F.sum("energy").alias("energy"), F.min("dead").alias("dead"), F.sum("windows").alias("windows"))
 
 
@@ -108,50 +129,75 @@ def real_bits(measured: DataFrame, headers: DataFrame) -> DataFrame:
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(r["file_id"], decode_pcm(r["raw"], r["bits_per_sample"], r["channels"])) for r in batch.to_pylist()]
+        rows = [(r["file_id"], decode_pcm(r["raw"], r["bits_per_sample"], r["channels"])[: r["left"]]) for r in batch.to_pylist()]
         columns = [[f for f, _ in rows], [float(np.abs(x).max()) if x.size else 0.0 for _, x in rows], [float((x**2).sum()) for _, x in rows], [x.size for _, x in rows]]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64())], ["file_id", "peak", "squares", "n"])
 
 
 def signal_levels(windows: DataFrame, length: int = WINDOW, seconds: int = LEVEL_SECONDS) -> DataFrame:
     """(file_id, peak_db, rms_db) of the first seconds; silence has none."""
-    first = windows.where(F.col("window_idx") * length < F.col("sample_rate") * seconds).select("file_id", "bits_per_sample", "channels", "raw")
+    left = F.col("sample_rate").cast("long") * seconds - F.col("window_idx") * length
+    first = windows.where((left > 0) & (F.col("channels") > 0) & (F.col("bits_per_sample") >= 8)).select("file_id", "bits_per_sample", "channels", "raw", left.alias("left"))
     part = first.mapInArrow(_levels, "file_id long, peak double, squares double, n long").groupBy("file_id").agg(F.max("peak").alias("peak"), F.sum("squares").alias("squares"), F.sum("n").alias("n"))
     rms = F.sqrt(F.col("squares") / F.nullif(F.col("n"), F.lit(0)))
     level = lambda x: F.when(x > 0, 20 * F.log10(x))
     return part.select("file_id", level(F.col("peak")).alias("peak_db"), level(rms).alias("rms_db"))
 
 
-def _digest(chunks: pa.Table) -> pa.Table:
-    chunks = chunks.sort_by("window_idx")
-    md5, size = hashlib.md5(), 0
-    for raw in chunks["raw"]:
-        data = raw.as_py() or b""
-        md5.update(data)
-        size += len(data)
-    return pa.table({"file_id": chunks["file_id"][:1], "bytes": pa.array([size], pa.int64()), "md5_hex": [md5.hexdigest()]})
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of files whose chunks come one behind the other."""
+    names, kinds = ["file_id", "bytes", "md5_hex"], [pa.int64(), pa.int64(), pa.string()]
+    file_id, md5, size, done = None, hashlib.md5(), 0, []
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [()] * 3
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    begun = False
+    for batch in batches:
+        for own, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if begun and own != file_id:
+                done.append((file_id, size, md5.hexdigest()))
+                md5, size = hashlib.md5(), 0
+            file_id, begun, data = own, True, raw.as_py() or b""
+            md5.update(data)
+            size += len(data)
+        yield flush()
+    if begun:
+        done.append((file_id, size, md5.hexdigest()))
+        yield flush()
 
 
 def audio_digest(windows: DataFrame) -> DataFrame:
-    """(file_id, samples, md5_hex) of a file's audio; a digest can't be merged, so a file's chunks meet in order."""
+    """(file_id, samples, md5_hex) of a file's audio.
+
+    A digest can't be merged, so that a file's chunks go by one task in order; they are
+    read as a stream, of which one batch is held.
+    """
     facts = windows.groupBy("file_id").agg(F.first("channels").alias("channels"), F.first("bits_per_sample").alias("bits"))
-    found = windows.select("file_id", "window_idx", "raw").groupBy("file_id").applyInArrow(_digest, "file_id long, bytes long, md5_hex string").join(facts, "file_id")
+    chunks = windows.select("file_id", "raw", "window_idx").repartition("file_id").sortWithinPartitions("file_id", "window_idx").select("file_id", "raw")
+    found = chunks.mapInArrow(_digest, "file_id long, bytes long, md5_hex string").join(facts, "file_id")
     frame = F.col("channels") * F.floor(F.col("bits") / 8)
     return found.select("file_id", F.coalesce(F.floor(F.col("bytes") / F.nullif(frame, F.lit(0))), F.lit(0)).cast("long").alias("samples"), "md5_hex")
 
 
-def band_grid(rates: DataFrame) -> DataFrame:
-    """(sample_rate, hz, cell): fine, coarse and refined bands of each rate; a refined band takes a coarse one's place."""
+def grid_bands(rate: Column) -> Column:
+    """array<struct<hz, cell>>: fine, coarse and refined bands of a rate; a refined band takes a coarse one's place."""
     from .spectrum_rules import COARSE_FROM, COARSE_STEP, FINE_FROM, FINE_STEP, FINE_TO, LADDER, PASSBAND, TOP_SHARE
 
-    top = F.col("sample_rate") / 2 * TOP_SHARE
+    top = rate / 2 * TOP_SHARE
     fine = F.filter(F.sequence(F.lit(FINE_FROM), F.lit(FINE_TO), F.lit(FINE_STEP)), lambda f: f < top)
-    coarse = F.when((F.col("sample_rate") > 48000) & (top.cast("int") >= COARSE_FROM), F.sequence(F.lit(COARSE_FROM), F.greatest(top.cast("int"), F.lit(COARSE_FROM)), F.lit(COARSE_STEP))).otherwise(F.array().cast("array<int>"))
-    rungs = F.when(F.col("sample_rate") % 11025 == 0, F.array(*map(F.lit, LADDER[11025]))).otherwise(F.array(*map(F.lit, LADDER[8000])))
+    coarse = F.when((rate > 48000) & (top.cast("int") >= COARSE_FROM), F.sequence(F.lit(COARSE_FROM), F.greatest(top.cast("int"), F.lit(COARSE_FROM)), F.lit(COARSE_STEP))).otherwise(F.array().cast("array<int>"))
+    rungs = F.when(rate % 11025 == 0, F.array(*map(F.lit, LADDER[11025]))).otherwise(F.array(*map(F.lit, LADDER[8000])))
     centre = lambda r: (F.bround(r * PASSBAND / FINE_STEP, 0) * FINE_STEP).cast("int")
-    around = F.flatten(F.transform(F.filter(rungs, lambda r: r < F.col("sample_rate")), lambda r: F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: centre(r) + k * FINE_STEP)))
+    around = F.flatten(F.transform(F.filter(rungs, lambda r: r < rate), lambda r: F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: centre(r) + k * FINE_STEP)))
     edges = F.when(F.size(coarse) > 0, F.array_distinct(F.filter(around, lambda f: (f > FINE_TO) & (f < top)))).otherwise(F.array().cast("array<int>"))
-    grid = rates.select("sample_rate").distinct().withColumns({"_fine": fine, "_edges": edges, "_coarse": coarse})
-    cell = lambda name, width: F.transform(name, lambda f: F.struct(f.cast("long").alias("hz"), F.lit(width).alias("cell")))
-    bands = F.concat(cell("_fine", 0), cell("_edges", FINE_STEP), cell(F.array_except("_coarse", "_edges"), COARSE_STEP))
-    return grid.select("sample_rate", F.explode(bands).alias("b")).select("sample_rate", "b.hz", "b.cell")
+    cell = lambda x, width: F.transform(x, lambda f: F.struct(f.cast("long").alias("hz"), F.lit(width).alias("cell")))
+    return F.concat(cell(fine, 0), cell(edges, FINE_STEP), cell(F.array_except(coarse, edges), COARSE_STEP))
+
+
+def band_grid(rates: DataFrame) -> DataFrame:
+    """(sample_rate, hz, cell): the bands of each rate."""
+    grid = rates.select("sample_rate").distinct().select("sample_rate", F.explode(grid_bands(F.col("sample_rate"))).alias("b"))
+    return grid.select("sample_rate", "b.hz", "b.cell")

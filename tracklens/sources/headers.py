@@ -98,6 +98,13 @@ def stream_field(rate: Column, channels: Column, bits: Column, samples: Column)
     return F.unhex(F.concat(F.lpad(F.hex(rate), 5, "0"), F.lpad(F.hex(packed), 2, "0"), F.lpad(F.hex(samples), 9, "0")))
 
 
+def streaminfo_offset(head: Column) -> Column:
+    """Where the data of STREAMINFO begins: behind an ID3 prefix, whose size has seven bits a byte, if there is one."""
+    byte = lambda k: F.conv(F.hex(F.substring(head, k, 1)), 16, 10).cast("int") % 128
+    size = ((byte(7) * 128 + byte(8)) * 128 + byte(9)) * 128 + byte(10)
+    return F.when(F.hex(F.substring(head, 1, 3)) == "494433", size + 10).otherwise(0) + len(MAGIC) + 4
+
+
 def patch_header(files: DataFrame) -> DataFrame:
     """files (content, streaminfo_offset and true fields) with the 24 bytes of format and digest overwritten.
 
