@@ -156,3 +156,40 @@ def test_unusable_files(spark):
     windows = spark.createDataFrame(rows, "file_id long, window_idx long, sample_rate int, bits_per_sample int, channels int, raw binary")
     found = inspect_library(spark.createDataFrame([f[:1] + f[2:3] for f in formats], "file_id long, bits_per_sample int"), windows, 64)
     assert {r["file_id"]: r["inspect_error"] for r in found.collect()} == {1: None} | {k: "fake_unusable" for k in (2, 3, 4, 5, 6)}
+
+
+def test_analysis_job(spark):
+    """A first run takes all files, a second only what changed; a failed log is damage, a lost header an error."""
+    from tracklens.jobs.analyze import analyze_library
+
+    listing = spark.createDataFrame([(p, 10, 1) for p in "abcd"], "path string, file_size long, mtime_us long")
+    headers = spark.createDataFrame(
+        [(p, None, 44100, 2, 16, 4096, 10000, "ab") for p in "ab"] + [("c", "not_flac", None, None, None, None, None, None)],
+        "path string, error string, sample_rate int, channels int, bits_per_sample int, max_blocksize int, total_samples long, md5_hex string",
+    )
+    frames = spark.createDataFrame([(p, k, "MID_SIDE") for p in "ab" for k in range(3)], "path string, frame long, channel_assignment string")
+    subframes = spark.createDataFrame([(p, k, "LPC", 8, 3) for p in "ab" for k in range(6)], "path string, subframe int, type string, lpc_order int, partition_order int")
+    ends = spark.createDataFrame([("b", 1, "b: ERROR: lost sync")], "path string, exit_code int, log string")
+    runs = spark.createDataFrame([("a", 10000, ""), ("b", 8192, "")], "path string, decoded_samples long, stderr string")
+    none = spark.createDataFrame([], "path string, file_size long, mtime_us long, is_partial int, has_deep int, error string")
+    first = analyze_library(listing, none, headers, frames, subframes, ends, runs)
+    rows = {r["path"]: r for r in first.collect()}
+    assert {p: (r["error"], r["damaged"], r["harmless"], r["lost_samples"], r["frames"], r["reused"]) for p, r in rows.items()} == {
+        "a": (None, False, False, None, 3, False), "b": ("lost sync", True, True, 1808, None, False), "c": ("not_flac", False, False, None, None, False), "d": ("unreadable", False, False, None, None, False),
+    }
+    changed = spark.createDataFrame([("a", 10, 1), ("b", 10, 1), ("c", 11, 1)], listing.schema)
+    again = analyze_library(changed, first.drop("reused"), headers, frames, subframes, ends, runs)
+    assert {r["path"]: (r["reused"], r["error"], r["really_damaged"]) for r in again.collect()} == {"a": (True, None, False), "b": (True, "lost sync", False), "c": (False, "not_flac", False)}
+    assert analyze_library(changed, first.drop("reused"), headers, frames, subframes, ends, runs, force=True).where("reused").isEmpty()
+
+
+def test_rewritten_files_are_judged_by_header(spark):
+    from tracklens.jobs.rewrite import rewritten_report
+    from tracklens.operators import rules
+
+    schema = "path string, error string, sample_rate int, channels int, bits_per_sample int, max_blocksize int, md5_hex string, lpc_share double, max_lpc_order int, max_partition_order int, stereo_mode string, damaged boolean, harmless boolean, suspicious boolean, inspected int, is_partial int"
+    report = rules.classify(spark.createDataFrame([(p, None, 44100, 2, 16, 4096, "ab", 0.0, 4, 3, "-m", False, False, False, 1, 0) for p in "abc"], schema))
+    outcomes = spark.createDataFrame([("a", "reencode", "done"), ("b", "reencode", "failed"), ("c", "reencode", "done")], "path string, kind string, status string")
+    new = spark.createDataFrame([("a", None, 4096), ("c", "eof", None)], "path string, error string, max_blocksize int")
+    found = {r["path"]: (r["severity"], r["lpc_share"], r["is_partial"], r["error"]) for r in rewritten_report(report, outcomes, new).collect()}
+    assert found == {"a": (0, None, 1, None), "b": (2, 0.0, 0, None), "c": (2, 0.0, 0, "eof")}
