@@ -26,6 +26,8 @@ END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words of a generation that a worker remembers; the generation before is kept as well.
 REMEMBERED = 600_000
+#: Beyond so many, the parts of words that a worker remembers are forgotten.
+PARTS = 150_000
 #: What texts with special tokens hold; these are encoded whole.
 SPECIAL = b"<|"
 #: Words encoded at once, and the character between those that aren't plain letters.
@@ -36,6 +38,33 @@ _TAIL = b".,;:!?*#$%&()\"+-/<=>@[]^_`{|}~\\"
 _LATIN = 0xC4
 
 
+def gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at begins, one behind the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)]
+
+
+class WordTable:
+    """Ids by word hash, as sorted arrays: a tenth of a dict's memory."""
+
+    def __init__(self):
+        self.keys, self.begins, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where keys are in the table, -1 for those it lacks."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        begins = len(self.flat) + np.cumsum(sizes) - sizes
+        keys = np.append(self.keys, keys)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.begins, self.sizes = keys[order], np.append(self.begins, begins)[order], np.append(self.sizes, sizes)[order]
+        self.flat = np.append(self.flat, ids)
+
+
 class WordTokens:
     """Token ids of texts, word by word; a word between ASCII white space is encoded once.
 
@@ -61,7 +90,7 @@ class WordTokens:
             mark = tokenizer.encode(MARK, add_special_tokens=False).ids
             ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
             ends[[k for w, k in tokenizer.get_vocab().items() if w.endswith(self.END_OF_WORD)]] = True
-            held[name] = {"tokenizer": tokenizer, "mark": mark[0] if len(mark) == 1 else None, "ends": ends, "ids": {}, "before": {}, "parts": {}}
+            held[name] = {"tokenizer": tokenizer, "mark": mark[0] if len(mark) == 1 else None, "ends": ends, "table": WordTable(), "before": WordTable(), "parts": {}}
         self.held = held[name]
         self.tokenizer, self.mark, self.ends = (self.held[k] for k in ("tokenizer", "mark", "ends"))
 
@@ -77,13 +106,10 @@ class WordTokens:
             hashes, counts, starts = word_hashes(data, offsets, places=True)
         found, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         lengths = np.add.reduceat(~IS_SPACE[data], starts, dtype=np.int64)[where] if len(starts) else where
-        values = self._ids(found.tolist(), starts[where].tolist(), lengths.tolist(), raw)
-        sizes = np.array([len(v) for v in values], np.int64) // 4
-        begins = np.append(0, np.cumsum(sizes))[:-1]
-        flat = np.frombuffer(b"".join(values), "<u4")
-        many = sizes[inverse]
+        table, at = self._ids(found, starts[where], lengths, raw)
+        many = table.sizes[at][inverse]
+        ids = gather(table.flat, table.begins[at][inverse], many).tobytes()
         ends = np.append(0, np.cumsum(many))
-        ids = flat[np.arange(ends[-1]) + np.repeat(begins[inverse] - ends[:-1], many)].tobytes()
         edges = (4 * ends[np.append(0, np.cumsum(counts))]).tolist()
         out = [ids[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
         if SPECIAL in raw:
@@ -92,28 +118,28 @@ class WordTokens:
                     out[k] = np.array(self.tokenizer.encode(raw[lo:hi].decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
-    def _ids(self, keys: list[int], starts: list[int], lengths: list[int], raw: bytes) -> list[bytes]:
-        """The ids of words by their hashes; a word of the last two generations is known."""
-        if len(self.held["ids"]) > REMEMBERED:
-            self.held["before"], self.held["ids"], self.held["parts"] = self.held["ids"], {}, {}
-        ids, before = self.held["ids"], self.held["before"]
-        out = list(map(ids.get, keys))
-        new = {}
-        missing = [k for k, value in enumerate(out) if value is None]
-        for k in missing:
-            key = keys[k]
-            value = before.get(key)
-            if value is None:
-                new[key] = raw[starts[k] : starts[k] + lengths[k]].lower()
-            else:
-                ids[key] = value
-        ids.update(zip(new, self._learn(list(new.values())), strict=True))
-        for k in missing:
-            out[k] = ids[keys[k]]
-        return out
+    def _ids(self, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray, raw: bytes) -> tuple[WordTable, np.ndarray]:
+        """A table that has all keys and their places in it; a word of the last two generations is known."""
+        held = self.held
+        if len(held["table"].keys) > REMEMBERED:
+            held["before"], held["table"], held["parts"] = held["table"], WordTable(), {}
+        table, before = held["table"], held["before"]
+        missing = np.flatnonzero(table.find(keys) < 0)
+        if len(missing):
+            old = before.find(keys[missing])
+            known = old[old >= 0]
+            new = missing[old < 0]
+            words = [raw[lo : lo + n].lower() for lo, n in zip(starts[new].tolist(), lengths[new].tolist(), strict=True)]
+            values = self._learn(words)
+            sizes = np.append(before.sizes[known], np.array([len(v) for v in values], np.int64) // 4)
+            ids = np.append(gather(before.flat, before.begins[known], before.sizes[known]), np.frombuffer(b"".join(values), "<u4"))
+            table.add(np.append(keys[missing[old >= 0]], keys[new]), sizes, ids)
+        return table, table.find(keys)
 
     def _learn(self, words: list[bytes]) -> list[bytes]:
         """Ids of words: of letters and the punctuation behind them apart, as the tokenizer splits them."""
+        if len(self.held["parts"]) > PARTS:
+            self.held["parts"] = {}
         parts = self.held["parts"]
         split, letters, other = [], set(), set()
         for w in words:
@@ -195,7 +221,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int) -> I
         kind = batch.schema.field(0).type
         data, offsets = text_buffers(batch.column(1))
         docs = batch.column(0).to_pylist()
-        for lo, hi in slices(offsets, 2 * SLICE_BYTES):
+        for lo, hi in slices(offsets, SLICE_BYTES // 2):
             for doc, ids in zip(docs[lo:hi], tokens.encode_rows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), strict=True):
                 ids += end
                 total = len(ids) // 4
