@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import _seeded, mix64, slices, stage_table, text_buffers
+from .common import SLICE_BYTES, _seeded, mix64, slices, stage_table, text_buffers
 
 WIDTHS, FILTERS, DIMENSIONS = (1, 2, 3), 8, 16
 PREFIXES = (4, 5, 6)
@@ -308,33 +308,34 @@ def train(docs: DataFrame, labels: DataFrame, held_out_of: int = 5) -> Model:
     return model
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, with_text: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffers(batch.column(batch.num_columns - 1))
         scores = np.zeros(batch.num_rows)
-        for lo, hi in slices(offsets):
+        for lo, hi in slices(offsets, SLICE_BYTES // 4):
             text = read_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             scores[lo:hi] = sigmoid(model.logits(text).astype(np.float64))
-        names = batch.schema.names
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*names[:-1], "score"])
+        kept = batch.num_columns if with_text else batch.num_columns - 1
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(scores)], [*batch.schema.names[:kept], "score"])
 
 
-def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang"), with_text: bool = False) -> DataFrame:
     """The columns keep, the score of each row's whole text, its threshold, and whether it is rejected.
 
     Null and empty texts get the score of a text without words. A row is rejected if its
     score reaches its language's threshold; 0.5 where the language is null or unknown.
     Repeated rows stay. Columns of keep with the names of the added ones are replaced;
-    other columns of docs are not read.
+    other columns of docs are not read. with_text adds the text itself, which then needs
+    no copy of its own in keep.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    keep = [c for c in keep if c not in ("score", "threshold", "rejected")]
+    keep = [c for c in keep if c not in ("score", "threshold", "rejected") and not (with_text and c == "text")]
     row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
     asked = docs.select(row, F.col("lang").alias("lang"), F.col("text").alias("text"))
-    schema = StructType([*asked.schema.fields[:2], StructField("score", DoubleType())])
-    scored = asked.mapInArrow(lambda batches: _score(batches, Model(**shared.value)), schema)
+    schema = StructType([*asked.schema.fields[: 2 + with_text], StructField("score", DoubleType())])
+    scored = asked.mapInArrow(lambda batches: _score(batches, Model(**shared.value), with_text), schema)
     limit = F.lit(0.5)
     if model.thresholds:
         table = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
         limit = F.coalesce(F.try_element_at(table, F.coalesce("lang", F.lit(""))), F.lit(0.5))
-    return scored.select("row.*", "score", limit.alias("threshold"), (F.col("score") >= limit).alias("rejected"))
+    return scored.select("row.*", *["text"][:with_text], "score", limit.alias("threshold"), (F.col("score") >= limit).alias("rejected"))
