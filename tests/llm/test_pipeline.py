@@ -55,4 +55,4 @@ def test_run_gives_the_last_stage(spark, corpus):
 
 
 def test_registered_queries():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))

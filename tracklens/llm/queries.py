@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, ctw, images, minhash, mixing, packing, pii, sharding, toxicity, warc
+from . import ann, article, centroids, ctw, dialogues, images, minhash, mixing, packing, pii, sharding, toxicity, warc
 from .common import table
 
 
@@ -67,6 +67,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
 
 
+def op11_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.extract_articles(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op12_exact_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_image_copies": op1_image_copies,
     "op2_warc_dictionary": op2_warc_dictionary,
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_harmonic_packing": op9_harmonic_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_article_text": op11_article_text,
+    "op12_exact_centroids": op12_exact_centroids,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _OP2_SQL = """
@@ -88,4 +103,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN '
 FROM p LEFT JOIN g USING (payload_digest)
 """
 
-ORACLE: dict[str, str] = {"op2_warc_dictionary": _OP2_SQL, "op6_capped_mix": mixing.MIX_SQL}
+ORACLE: dict[str, str] = {"op2_warc_dictionary": _OP2_SQL, "op6_capped_mix": mixing.MIX_SQL, "op12_exact_centroids": centroids.clustering_sql()}
