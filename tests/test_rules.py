@@ -117,7 +117,7 @@ def test_report_round_trip(spark, tmp_path):
 
 
 def test_listing(spark, tmp_path):
-    from tracklens.sources.logs import list_documents, list_files
+    from tracklens.sources.files import list_documents, list_files
 
     for name in ("a.flac", "b.FLAC", "c.orig.flac", "d.ORIG.Flac", "e.mp3", "f.pdf", "g.PDF", "h.Pdf"):
         (tmp_path / name).write_bytes(b"x")

@@ -29,11 +29,12 @@ from part
 """,
     "fx_subframes": """
 select l_partkey as file_id, l_orderkey as frame, l_linenumber as subframe,
- case when l_partkey % 10 = 0 then case when l_linenumber = 1 then 'CONSTANT' else 'FIXED' end
+ case when l_partkey % 12 = 5 and l_linenumber = 2 then null
+      when l_partkey % 10 = 0 then case when l_linenumber = 1 then 'CONSTANT' else 'FIXED' end
       when l_partkey % 10 = 1 then case when l_linenumber = 3 then 'LPC' else 'VERBATIM' end
       else case l_linenumber when 1 then 'CONSTANT' when 2 then 'FIXED' else 'LPC' end end as type,
  cast(1 + cast(l_quantity as int) % (case when l_partkey % 5 = 2 then 14 when l_partkey % 5 = 3 then 5 else 9 end) as int) as lpc_order,
- cast(l_suppkey % (case when l_partkey % 7 = 0 then 10 else 7 end) as int) as partition_order,
+ cast(case when l_partkey % 12 = 5 and l_linenumber = 2 then 12 else l_suppkey % (case when l_partkey % 7 = 0 then 10 else 7 end) end as int) as partition_order,
  case l_partkey % 4 when 0 then 'INDEPENDENT' when 1 then 'MID_SIDE'
    when 2 then case when l_orderkey % 3 = 0 then 'LEFT_SIDE' else 'INDEPENDENT' end
    else case when l_orderkey % 3 = 0 then 'RIGHT_SIDE' else 'MID_SIDE' end end as channel_assignment

@@ -32,29 +32,31 @@ def analyze_library(
     statistics; losses are measured for these only. A listed file without a header row
     has the error unreadable. Files that are gone leave the report.
 
-    Every join is by path, of one row a file; frames and subframes aggregate map-side
-    after the files to reuse have been left out.
+    Frames and subframes become a row a file, map-side, before anything is joined; then
+    all tables meet in one chain of joins by path, of one row a file each.
     """
-    split = incremental.incremental_split(listing, previous, force)
-    reused = previous.join(split.where("plan = 'reuse'").select("path"), "path", "left_semi").withColumn("reused", F.lit(True))
-    todo = todo_files(listing, previous, force).select("path", "file_size", "mtime_us")
-    known = headers.drop("file_size", "mtime_us").withColumn("has_header", F.lit(True))
-    fresh = todo.join(known, "path", "left").withColumn("error", F.coalesce("error", F.when(F.col("has_header").isNull(), F.lit("unreadable")))).drop("has_header")
-
-    paths = todo.select("path")
-    stats = deep.deep_stats(subframes.join(paths, "path", "left_semi"), frames.join(paths, "path", "left_semi"), "path")
-    ends = analyses.select("path", "exit_code", damage.log_error(F.col("log")).alias("message"))
-    fresh = fresh.join(stats, "path", "left").join(ends, "path", "left")
-    failure = F.when(F.col("error").isNull(), damage.deep_error(F.coalesce("exit_code", F.lit(0)), F.col("frames"), F.col("message")))
-    fresh = fresh.withColumn("failure", failure)
-    whole = F.col("error").isNull() & F.col("failure").isNull()
+    entry = previous.select("path", F.struct(*previous.columns).alias("_entry"))
+    known = headers.drop("file_size", "mtime_us").withColumn("_header", F.lit(True))
+    stats = deep.deep_stats(subframes, frames, "path")
+    ends = analyses.select("path", F.col("exit_code").alias("_exit"), damage.log_error(F.col("log")).alias("_message"))
+    runs = decodes.select("path", "decoded_samples", damage.error_positions(F.col("stderr")).alias("error_positions"), F.lit(True).alias("_run"))
+    rows = listing.select("path", "file_size", "mtime_us")
+    for other in (entry, known, stats, ends, runs):
+        rows = rows.join(other, "path", "left")
+    rows = rows.withColumn("_reuse", incremental.reusable(F.col("_entry"), force))
+
+    header = F.coalesce("error", F.when(F.col("_header").isNull(), F.lit("unreadable")))
+    failure = F.when(header.isNull(), damage.deep_error(F.coalesce("_exit", F.lit(0)), F.col("frames"), F.col("_message")))
+    rows = rows.withColumns({"error": F.coalesce(header, failure), "damaged": failure.isNotNull()})
     measures = [c for c in stats.columns if c != "path"]
-    fresh = fresh.withColumns({c: F.when(whole, F.col(c)) for c in measures} | {"has_deep": F.when(whole, 1).otherwise(0), "damaged": F.col("failure").isNotNull()})
-    fresh = fresh.withColumn("error", F.coalesce("error", "failure")).drop("failure", "exit_code", "message")
-
-    runs = decodes.select("path", "decoded_samples", damage.error_positions(F.col("stderr")).alias("error_positions"))
-    runs = fresh.where("damaged").select("path", "total_samples", "max_blocksize").join(runs, "path")
-    losses = damage.damage_measures(runs).select("path", *[F.col(c).cast(t).alias(c) for c, t in LOSSES.items()])
-    fresh = rules.classify(fresh.join(losses, "path", "left"))
-    fresh = fresh.withColumns({"is_partial": F.lit(0), "inspected": F.lit(0), "suspicious": F.lit(False), "reused": F.lit(False)})
-    return rules.analysis_flags(fresh.unionByName(reused, allowMissingColumns=True))
+    whole = F.col("error").isNull()
+    rows = rows.withColumns({c: F.when(whole, F.col(c)) for c in measures} | {"has_deep": F.when(whole, 1).otherwise(0)})
+    lost = F.col("damaged") & F.coalesce("_run", F.lit(False))
+    rows = damage.damage_measures(rows)
+    rows = rows.withColumns({c: F.when(lost, F.col(c)).cast(t) for c, t in LOSSES.items()}).drop("decoded_samples")
+    fresh = rules.classify(rows).withColumns({"is_partial": F.lit(0), "inspected": F.lit(0), "suspicious": F.lit(False)})
+    own = [c for c in fresh.columns if not c.startswith("_")]
+    old = {c: F.col("_entry")[c] for c in previous.columns}
+    none = F.lit(None)
+    merged = [F.when(F.col("_reuse"), old.get(c, none)).otherwise(F.col(c)).alias(c) for c in own] + [F.when(F.col("_reuse"), old[c]).alias(c) for c in old if c not in own]
+    return rules.analysis_flags(fresh.select(*merged, F.col("_reuse").alias("reused")))

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 DEEP = """
 s AS (SELECT file_id, count(*) AS subframes, sum(CASE WHEN type = 'LPC' THEN 1 ELSE 0 END) AS lpc, sum(CASE WHEN type = 'CONSTANT' THEN 1 ELSE 0 END) AS constant,
-  max(CASE WHEN type = 'LPC' THEN lpc_order END) AS max_lpc_order, avg(CASE WHEN type = 'LPC' THEN lpc_order END) AS avg_lpc_order, max(partition_order) AS max_partition_order
+  max(CASE WHEN type = 'LPC' THEN lpc_order END) AS max_lpc_order, avg(CASE WHEN type = 'LPC' THEN lpc_order END) AS avg_lpc_order, max(CASE WHEN type IS NOT NULL THEN partition_order END) AS max_partition_order
   FROM fx_subframes GROUP BY file_id),
 f AS (SELECT file_id, count(*) AS frames, CASE WHEN count(channel_assignment) = 0 THEN '?' WHEN bool_or(channel_assignment IN ('LEFT_SIDE', 'RIGHT_SIDE')) THEN '-m'
   WHEN bool_or(channel_assignment = 'MID_SIDE') THEN '-M' ELSE 'INDEPENDENT' END AS stereo_mode FROM fx_frames GROUP BY file_id),
@@ -64,7 +64,7 @@ def a1(spark, d):
     return found.select("file_id", "frames", "subframes", "max_lpc_order", F.round("avg_lpc_order", 6).alias("avg_lpc_order"), "max_partition_order")
 
 
-@query("a2_subframe_types", "WITH t AS (SELECT file_id, type, count(*) AS n FROM fx_subframes GROUP BY ALL) SELECT file_id, string_agg(type || ':' || n, ',' ORDER BY type) AS types FROM t GROUP BY file_id")
+@query("a2_subframe_types", "WITH t AS (SELECT file_id, type, count(*) AS n FROM fx_subframes WHERE type IS NOT NULL GROUP BY ALL) SELECT file_id, string_agg(type || ':' || n, ',' ORDER BY type) AS types FROM t GROUP BY file_id")
 def a2(spark, d):
     found = deep.type_histogram(fixture(spark, d, "fx_subframes"))
     return found.select("file_id", F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("types"))

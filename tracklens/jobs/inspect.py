@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from tracklens.operators import rules, spectrum, spectrum_rules
 
 
-def inspect_library(headers: DataFrame, windows: DataFrame, length: int = spectrum.WINDOW, stride: int = spectrum.STRIDE) -> DataFrame:
-    """headers (file_id, bits_per_sample, ...) with their files' verdicts, depths and flags.
+def inspect_library(headers: DataFrame, windows: DataFrame, length: int = spectrum.WINDOW, stride: int = spectrum.STRIDE, key: str = "file_id") -> DataFrame:
+    """headers (key, bits_per_sample, ...) with their files' verdicts, depths and flags.
 
     Each rate has its own grid of bands. Files that can't be measured (no rate, channels
     or whole bytes, too few fine bands, fewer than two windows, a silent reference) have
-    the error fake_unusable and no verdict. Energies add up map-side; one shuffle
-    gathers a file's bands, sixty at most.
+    the error fake_unusable and no verdict. Windows are read once; energies add up
+    map-side, and one shuffle gathers a file's bands, sixty at most.
     """
-    measured = spectrum.measure(windows, None, length, stride)
-    levels = spectrum.band_levels(measured).where("error is null").select("file_id", "hz", "db")
-    rates = windows.select("file_id", "sample_rate").distinct()
-    verdicts = spectrum_rules.inspect_verdicts(spectrum_rules.gather_bands(levels.join(rates, "file_id"), "file_id", "sample_rate"))
-    depths = spectrum.real_bits(measured, headers)
-    found = headers.join(verdicts.drop("sample_rate", "bands"), "file_id", "left").join(depths, "file_id", "left")
+    levels = spectrum.gather_levels(spectrum.measure(windows, None, length, stride, key), key)
+    good = levels.where("error is null")
+    verdicts = spectrum_rules.inspect_verdicts(good.drop("error"))
+    own = [c for c in headers.columns if c != key]
+    found = headers.join(verdicts.drop("sample_rate", "bands"), key, "left").select(key, *own, *[c for c in verdicts.columns if c not in (key, "sample_rate", "bands")])
     failed = F.col("cliff_db").isNull()
-    return rules.inspection_flags(found.withColumns({"inspect_error": F.when(failed, F.lit("fake_unusable")), "real_bits": F.when(failed, 0).otherwise(F.coalesce("real_bits", F.lit(0)))}))
+    flagged = found.withColumns({"inspect_error": F.when(failed, F.lit("fake_unusable")), "real_bits": F.when(failed, 0).otherwise(spectrum.depth_without(F.col("dead")))}).drop("dead")
+    return rules.inspection_flags(flagged)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklens.fixtures import fixture, with_fixtures
-from tracklens.operators import rules, spectrum_rules, summary
+from tracklens.operators import asof, rules, spectrum_rules, summary
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -146,7 +146,15 @@ def p12(spark, d):
 @query("j8_first_limit", "SELECT file_id, hz, CASE WHEN hz <= 22600 THEN 44100 WHEN hz <= 24600 THEN 48000 END AS entry FROM fx_bands")
 def j8(spark, d):
     limits = spark.createDataFrame(list(spectrum_rules.SOURCES), "limit long, entry int")
-    return rules.first_limit_join(fixture(spark, d, "fx_bands").select("file_id", "hz"), "hz", limits)
+    return asof.first_limit_join(fixture(spark, d, "fx_bands").select("file_id", "hz"), "hz", limits)
+
+
+@query("j8_many_limits", """WITH l AS (SELECT DISTINCT floor(p_retailprice * 10) * 3 AS lim FROM part), t AS (SELECT lim, cast(lim % 1000 AS INT) AS entry FROM l)
+  SELECT h.file_id, h.total_samples, t.entry FROM fx_headers h ASOF LEFT JOIN t ON h.total_samples % 100000 <= t.lim""")
+def j8_many(spark, d):
+    limits = spark.read.parquet(f"{d}/part.parquet").select((F.floor(F.col("p_retailprice") * 10) * 3).alias("limit")).distinct().withColumn("entry", (F.col("limit") % 1000).cast("int"))
+    rows = fixture(spark, d, "fx_headers").select("file_id", "total_samples", (F.col("total_samples") % 100000).alias("at"))
+    return asof.first_limit_join(rows, "at", limits).drop("at")
 
 
 @query("a7_band_medians", "SELECT file_id, median(db) FILTER (hz BETWEEN 15000 AND 20000) AS audible, median(db) FILTER (hz >= 26000) AS ultra FROM fx_bands GROUP BY file_id")

@@ -10,11 +10,11 @@ HEAD_PCT, TAIL_PCT = 10, 90
 
 
 def log_error(log: Column) -> Column:
-    """The text after the first ERROR of the first line with one, else the last line; blank lines don't count."""
+    """The text after the first ERROR of the first line with one, or that line if nothing follows, else the last line; blank lines don't count."""
     lines = F.filter(F.transform(F.split(log, r"\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     hit = F.get(F.filter(lines, lambda x: x.contains("ERROR")), F.lit(0))
     text = F.regexp_replace(F.regexp_extract(hit, r"ERROR(.*)$", 1), r"^[ ,:]+", "")
-    return F.when(hit.isNotNull(), text).when(F.size(lines) > 0, F.try_element_at(lines, F.lit(-1))).otherwise("no_output")
+    return F.when(hit.isNotNull(), F.coalesce(F.nullif(text, F.lit("")), hit)).when(F.size(lines) > 0, F.try_element_at(lines, F.lit(-1))).otherwise("no_output")
 
 
 def error_positions(log: Column) -> Column:

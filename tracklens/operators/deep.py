@@ -24,12 +24,12 @@ def frame_stats(frames: DataFrame, key: str = "file_id") -> DataFrame:
 
 
 def subframe_stats(subframes: DataFrame, key: str = "file_id") -> DataFrame:
-    """Counts and orders per file; LPC orders over LPC subframes only."""
+    """Counts and orders per file: LPC orders over LPC subframes, partition orders over those of a known type."""
     is_lpc = F.col("type") == "LPC"
     order = F.when(is_lpc, F.col("lpc_order"))
     return subframes.groupBy(key).agg(
         F.count("*").alias("subframes"), F.count_if(is_lpc).alias("lpc"), F.count_if(F.col("type") == "CONSTANT").alias("constant"),
-        F.max(order).alias("max_lpc_order"), F.avg(order).alias("avg_lpc_order"), F.max("partition_order").alias("max_partition_order"),
+        F.max(order).alias("max_lpc_order"), F.avg(order).alias("avg_lpc_order"), F.max(F.when(F.col("type").isNotNull(), F.col("partition_order"))).alias("max_partition_order"),
     )
 
 

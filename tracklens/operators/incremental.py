@@ -14,12 +14,18 @@ def same_on_disk() -> Column:
     return F.col("file_size").eqNullSafe(F.col("prev_file_size")) & F.col("mtime_us").eqNullSafe(F.col("prev_mtime_us"))
 
 
+def reusable(entry: Column, force: bool = False) -> Column:
+    """Whether entry, a file's struct in the last report or null, still tells all of the listed file."""
+    same = F.col("file_size").eqNullSafe(entry["file_size"]) & F.col("mtime_us").eqNullSafe(entry["mtime_us"])
+    whole = (entry["is_partial"] == 0) & ((entry["has_deep"] == 1) | entry["error"].isNotNull())
+    return F.coalesce(entry.isNotNull() & same & whole, F.lit(False)) & F.lit(not force)
+
+
 def incremental_split(listing: DataFrame, previous: DataFrame, force: bool = False) -> DataFrame:
     """listing with plan: reuse if the last report measured just this file, else todo."""
-    joined = listing.join(_prefixed(previous, ["file_size", "mtime_us", "is_partial", "has_deep", "error"]), "path", "left")
-    reuse = F.col("prev_known").isNotNull() & (F.col("prev_is_partial") == 0) & same_on_disk() & ((F.col("prev_has_deep") == 1) | F.col("prev_error").isNotNull())
-    reuse = F.coalesce(reuse, F.lit(False)) & F.lit(not force)
-    return joined.select(*listing.columns, F.when(reuse, "reuse").otherwise("todo").alias("plan"))
+    entry = F.struct(*[F.col(c) for c in ("file_size", "mtime_us", "is_partial", "has_deep", "error")])
+    joined = listing.join(previous.select("path", entry.alias("_entry")), "path", "left")
+    return joined.select(*listing.columns, F.when(reusable(F.col("_entry"), force), "reuse").otherwise("todo").alias("plan"))
 
 
 def new_files(listing: DataFrame, previous: DataFrame) -> DataFrame:

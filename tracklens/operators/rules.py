@@ -158,15 +158,3 @@ def first_limit(value: Column, limits: tuple[tuple[int, object], ...], last: obj
 
 def lossy_hint(cutoff: Column) -> Column:
     return first_limit(cutoff, HINTS, HINTS[-1][1])
-
-
-def first_limit_join(rows: DataFrame, value: str, limits: DataFrame) -> DataFrame:
-    """rows with the entry of limits (limit, entry) for value: a range join with a table of rules.
-
-    limits is a rule table of a few rows; its size is checked before it is broadcast.
-    """
-    if limits.count() > 1000:
-        raise ValueError("a table of limits has at most 1000 rows")
-    top = limits.agg(F.sort_array(F.collect_list(F.struct("limit", "entry"))).alias("_limits"))
-    found = F.filter("_limits", lambda x: x["limit"] >= F.col(value))
-    return rows.crossJoin(F.broadcast(top)).withColumn("entry", F.get(found, F.lit(0))["entry"]).drop("_limits")

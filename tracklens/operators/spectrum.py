@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spectrum_rules import COARSE_FROM, COARSE_STEP, FINE_FROM, FINE_STEP, FINE_TO, LADDER, PASSBAND, TOP_SHARE
+
 #: A window's samples, how many windows one stands for, the step that moves coarse bands, the reference.
 WINDOW, STRIDE, GOLDEN, REFERENCE_HZ, LEVEL_SECONDS = 4096, 8, 0.6180339887498949, 1000, 60
-#: Fixed value: fine bands that a file needs at least.
-FINE_BANDS = 3
+#: Fine bands that a file needs at least, and the rate from which on there are coarse ones.
+FINE_BANDS, HIGH_RATE = 3, 48000
 #: The terms of the window function.
 TERMS = (0.35875, -0.48829, 0.14128, -0.01168)
 
@@ -49,99 +51,144 @@ def sample_windows(windows: DataFrame, length: int = WINDOW, stride: int = STRID
     return windows.where((F.col("window_idx") % stride == 0) & (F.length("raw") == frame * length))
 
 
-def dead_bytes(raw: bytes, width: int) -> int:
-    """Low bytes that are zero in every sample, width - 1 at most."""
-    data = np.frombuffer(raw, np.uint8)
-    data = data[: len(data) // width * width].reshape(-1, width)
-    used = np.flatnonzero((data != 0).any(axis=0))
-    return int(min(used[0] if len(used) else width, width - 1))
+def grid_of(rate: int) -> list[tuple[int, int]]:
+    """(hz, width of its cell) of a rate's bands: fine, refined and coarse; a refined band takes a coarse one's place."""
+    top = rate / 2 * TOP_SHARE
+    fine = [f for f in range(FINE_FROM, FINE_TO + 1, FINE_STEP) if f < top]
+    coarse = list(range(COARSE_FROM, int(top) + 1, COARSE_STEP)) if rate > HIGH_RATE else []
+    rungs = LADDER[11025 if rate % 11025 == 0 else 8000] if coarse else ()
+    around = (round(rung * PASSBAND / FINE_STEP) * FINE_STEP + k * FINE_STEP for rung in rungs if rung < rate for k in range(-2, 3))
+    edges = list(dict.fromkeys(f for f in around if FINE_TO < f < top))
+    return [(f, 0) for f in fine] + [(f, FINE_STEP) for f in edges] + [(f, COARSE_STEP) for f in coarse if f not in edges]
+
+
+def bands_of(rate: int, given: list[tuple[int, int]] | None) -> list[tuple[int, int]] | None:
+    """The given bands that a rate has, or its own grid; None if that has too few fine bands."""
+    if given is not None:
+        return [(hz, cell) for hz, cell in given if hz < rate / 2 * TOP_SHARE]
+    grid = grid_of(rate)
+    return grid if sum(cell == 0 for _, cell in grid) >= FINE_BANDS else None
+
 
+_MEASURED = "sample_rate long, hz long, energy double, dead int, windows long"
 
-def _measure(batches: Iterator[pa.RecordBatch], length: int, stride: int) -> Iterator[pa.RecordBatch]:
+
+def _measure(batches: Iterator[pa.RecordBatch], given: list[tuple[int, int]] | None, length: int, stride: int) -> Iterator[pa.RecordBatch]:
     """Energies of a batch's windows: those of one format together, and with one move those of one turn."""
-    shape = window_function(length)
+    shape, grids = window_function(length), {}
     for batch in batches:
-        out: dict[tuple[int, int], float] = {}
-        files: dict[int, list[int]] = {}
-        groups: dict[tuple, list[dict]] = {}
-        for row in batch.to_pylist():
-            bands = tuple((b["hz"], b["cell"]) for b in row["bands"])
-            groups.setdefault((row["sample_rate"], row["bits_per_sample"], row["channels"], bands), []).append(row)
-        for (rate, bits, channels, bands), rows in groups.items():
-            samples = decode_pcm(b"".join(r["raw"] for r in rows), bits, channels).mean(axis=1).reshape(len(rows), length) * shape
-            still = [0, *[hz for hz, cell in bands if not cell]]
-            energy = {hz: e for hz, e in zip(still, band_energy(samples, rate, np.array([REFERENCE_HZ, *still[1:]], float)).T, strict=True)}
-            moving = [(hz, cell) for hz, cell in bands if cell]
-            turns = np.array([r["window_idx"] // stride + 1 for r in rows])
-            for turn in np.unique(turns) if moving else ():
-                own = turns == turn
-                moved = np.array([hz + ((turn * GOLDEN) % 1 - 0.5) * cell for hz, cell in moving])
-                for (hz, _), e in zip(moving, band_energy(samples[own], rate, moved).T, strict=True):
-                    energy.setdefault(hz, np.zeros(len(rows)))[own] = e
-            ids = [r["file_id"] for r in rows]
-            for hz, values in energy.items():
-                for file_id, e in zip(ids, values.tolist(), strict=True):
-                    out[file_id, hz] = out.get((file_id, hz), 0.0) + e
-            for r in rows:
-                held = files.setdefault(r["file_id"], [bits, 0])
-                held[0], held[1] = min(held[0], dead_bytes(r["raw"], bits // 8)), held[1] + 1
-        items = [(f, hz, e, None, None) for (f, hz), e in out.items()] + [(f, -1, 0.0, d, n) for f, (d, n) in files.items()]
-        columns = list(zip(*items, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file_id", "hz", "energy", "dead", "windows"])
-
-
-def measure(windows: DataFrame, bands: list[tuple[int, int]] | None = None, length: int = WINDOW, stride: int = STRIDE) -> DataFrame:
-    """(file_id, hz, energy, dead, windows): sums of energies, hz 0 the reference; hz -1 the depth.
+        keys = batch.column(0).dictionary_encode()
+        owner = keys.indices.to_numpy(zero_copy_only=False)
+        turn = batch.column(1).to_numpy() // stride + 1
+        rates, depths, channels = (batch.column(k).to_numpy() for k in (2, 3, 4))
+        raws, parts = batch.column(5), []
+        for rate, bits, n in sorted(set(zip(rates.tolist(), depths.tolist(), channels.tolist(), strict=True))):
+            if rate not in grids:
+                grids[rate] = bands_of(rate, given)
+            bands = grids[rate]
+            if bands is None:
+                continue
+            rows = np.flatnonzero((rates == rate) & (depths == bits) & (channels == n))
+            data = b"".join(raws[k].as_py() for k in rows.tolist())
+            samples = decode_pcm(data, bits, n).mean(axis=1).reshape(len(rows), length) * shape
+            still, moving = [hz for hz, cell in bands if not cell], [(hz, cell) for hz, cell in bands if cell]
+            energy = np.zeros((len(rows), 1 + len(bands)))
+            energy[:, : 1 + len(still)] = band_energy(samples, rate, np.array([REFERENCE_HZ, *still], float))
+            for t in np.unique(turn[rows]) if moving else ():
+                own = turn[rows] == t
+                moved = np.array([hz + ((t * GOLDEN) % 1 - 0.5) * cell for hz, cell in moving])
+                energy[own, 1 + len(still) :] = band_energy(samples[own], rate, moved)
+            files, place = np.unique(owner[rows], return_inverse=True)
+            sums = np.zeros((len(files), energy.shape[1]))
+            np.add.at(sums, place, energy)
+            width = bits // 8
+            used = (np.frombuffer(data, np.uint8).reshape(len(rows), length * n, width) != 0).any(axis=1)
+            used[:, width - 1] = True
+            dead = np.full(len(files), width, np.int64)
+            np.minimum.at(dead, place, used.argmax(axis=1))
+            hz = np.array([0, *still, *[hz for hz, _ in moving]], np.int64)
+            parts.append((rate, np.repeat(files, len(hz)), np.tile(hz, len(files)), sums.ravel(), None, None))
+            parts.append((rate, files, np.full(len(files), -1), np.zeros(len(files)), dead, np.bincount(place)))
+        for rate, files, hz, energies, dead, windows in parts:
+            columns = [
+                keys.dictionary.take(pa.array(files)), pa.array(np.full(len(hz), rate, np.int64)), pa.array(hz, pa.int64()), pa.array(energies),
+                pa.nulls(len(hz), pa.int32()) if dead is None else pa.array(dead, pa.int32()), pa.nulls(len(hz), pa.int64()) if windows is None else pa.array(windows, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sample_rate", "hz", "energy", "dead", "windows"])
+
+
+def measure(windows: DataFrame, bands: list[tuple[int, int]] | None = None, length: int = WINDOW, stride: int = STRIDE, key: str = "file_id") -> DataFrame:
+    """(key, hz, energy, dead, windows, sample_rate): sums of energies, hz 0 the reference; hz -1 the depth.
 
     bands are (hz, width of the cell that jitter moves it in), fine ones with width 0;
-    without them every rate has its own grid. windows have file_id, window_idx,
-    sample_rate, bits_per_sample, channels and raw. Formats without a rate, channels or
-    whole bytes, and grids with too few fine bands, can't be measured and have no rows.
+    without them every rate has its own grid, which tasks work out. windows have key,
+    window_idx, sample_rate, bits_per_sample, channels and raw. Formats without a rate,
+    channels or whole bytes, and grids with too few fine bands, can't be measured and
+    have no rows.
+    """
+    sound = windows.where((F.col("sample_rate") > 0) & (F.col("channels") > 0) & (F.col("bits_per_sample") >= 8))
+    taken = sample_windows(sound, length, stride).select(F.col(key).alias("key"), *[F.col(c).cast("long") for c in ("window_idx", "sample_rate", "bits_per_sample", "channels")], "raw")
+    part = taken.mapInArrow(lambda batches: _measure(batches, bands, length, stride), f"key {taken.schema['key'].dataType.simpleString()}, {_MEASURED}")
+    summed = part.groupBy("key", "sample_rate", "hz").agg(F.sum("energy").alias("energy"), F.min("dead").alias("dead"), F.sum("windows").alias("windows"))
+    return summed.withColumnRenamed("key", key)
+
+
+def gather_levels(measured: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, sample_rate, bands, dead, error) of each file: its levels against the reference as one sorted array.
+
+    Fewer than two windows or a silent reference is an error, and the levels are null.
     """
-    rate = F.col("sample_rate")
-    if bands is None:
-        grid = grid_bands(rate)
-        enough = F.size(F.filter(grid, lambda b: b["cell"] == 0)) >= FINE_BANDS
-    else:
-        given = F.array(*[F.struct(F.lit(hz).cast("long").alias("hz"), F.lit(cell).alias("cell")) for hz, cell in bands])
-        grid, enough = F.filter(given, lambda b: b["hz"] < rate / 2 * 0.95), F.lit(True)
-    sound = windows.where((rate > 0) & (F.col("channels") > 0) & (F.col("bits_per_sample") >= 8)).where(enough)
-    taken = sample_windows(sound, length, stride).select("file_id", "window_idx", "sample_rate", "bits_per_sample", "channels", "raw", grid.alias("bands"))
-    part = taken.mapInArrow(lambda batches: _measure(batches, length, stride), "file_id long, hz long, energy double, dead int, windows long")
-    return part.groupBy("file_id", "hz").agg(F.sum("energy").alias("energy"), F.min("dead").alias("dead"), F.sum("windows").alias("windows"))
-
-
-def band_levels(measured: DataFrame) -> DataFrame:
-    """(file_id, hz, db, error): levels against the reference; fewer than two windows or silence is an error."""
-    reference = measured.where("hz = 0").select("file_id", F.col("energy").alias("ref"))
-    counted = measured.where("hz = -1").select("file_id", F.col("windows").alias("taken"))
-    joined = measured.where("hz > 0").select("file_id", "hz", "energy").join(reference, "file_id").join(counted, "file_id")
-    bad = (F.col("taken") < 2) | (F.col("ref") <= 0)
-    return joined.select("file_id", "hz", F.when(~bad, 10 * F.log10(F.col("energy") / F.col("ref") + 1e-30)).alias("db"), F.when(bad, F.lit("fake_unusable")).alias("error"))
-
-
-def real_bits(measured: DataFrame, headers: DataFrame) -> DataFrame:
-    """(file_id, real_bits): depth without the low bytes that are always zero; 0 if there are none."""
-    dead = measured.where("hz = -1").select("file_id", "dead")
-    return dead.join(headers.select("file_id", "bits_per_sample"), "file_id").select("file_id", F.when(F.col("dead") > 0, F.col("bits_per_sample") - 8 * F.col("dead")).otherwise(0).cast("int").alias("real_bits"))
-
-
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = lambda hz, c: F.max(F.when(F.col("hz") == hz, F.col(c)))
+    bands = F.sort_array(F.collect_list(F.when(F.col("hz") > 0, F.struct("hz", "energy"))))
+    one = measured.groupBy(key).agg(F.max("sample_rate").cast("int").alias("sample_rate"), bands.alias("_b"), at(0, "energy").alias("_ref"), at(-1, "windows").alias("_n"), at(-1, "dead").alias("dead"))
+    bad = F.coalesce((F.col("_n") < 2) | (F.col("_ref") <= 0), F.lit(True))
+    level = F.transform("_b", lambda b: F.struct(b["hz"].alias("hz"), F.when(~bad, 10 * F.log10(b["energy"] / F.col("_ref") + 1e-30)).alias("db")))
+    return one.select(key, "sample_rate", level.alias("bands"), "dead", F.when(bad, F.lit("fake_unusable")).alias("error"))
+
+
+def band_levels(measured: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, hz, db, error): levels against the reference; fewer than two windows or silence is an error."""
+    levels = gather_levels(measured, key).select(key, "error", F.explode("bands").alias("b"))
+    return levels.select(key, "b.hz", "b.db", "error")
+
+
+def depth_without(dead: Column) -> Column:
+    """Bits of samples without their dead bytes; 0 if there are none."""
+    return F.when(dead > 0, F.col("bits_per_sample") - 8 * dead).otherwise(0).cast("int")
+
+
+def real_bits(measured: DataFrame, headers: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, real_bits): depth without the low bytes that are always zero; 0 if there are none."""
+    dead = measured.where("hz = -1").select(key, "dead")
+    return dead.join(headers.select(key, "bits_per_sample"), key).select(key, depth_without(F.col("dead")).alias("real_bits"))
+
+
+def _levels(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(r["file_id"], decode_pcm(r["raw"], r["bits_per_sample"], r["channels"])[: r["left"]]) for r in batch.to_pylist()]
-        columns = [[f for f, _ in rows], [float(np.abs(x).max()) if x.size else 0.0 for _, x in rows], [float((x**2).sum()) for _, x in rows], [x.size for _, x in rows]]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64())], ["file_id", "peak", "squares", "n"])
+        keys, peaks, squares, counts = [], [], [], []
+        for key, bits, channels, raw, left in zip(*(batch.column(k) for k in range(5)), strict=True):
+            x = decode_pcm(raw.as_py() or b"", bits.as_py(), channels.as_py())[: left.as_py()]
+            keys.append(key.as_py())
+            peaks.append(float(np.abs(x).max()) if x.size else 0.0)
+            squares.append(float((x**2).sum()))
+            counts.append(x.size)
+        columns = [pa.array(keys, kind), pa.array(peaks, pa.float64()), pa.array(squares, pa.float64()), pa.array(counts, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "peak", "squares", "n"])
+
 
+def signal_levels(windows: DataFrame, length: int = WINDOW, seconds: int = LEVEL_SECONDS, key: str = "file_id") -> DataFrame:
+    """(key, peak_db, rms_db) of the first seconds; silence has none."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def signal_levels(windows: DataFrame, length: int = WINDOW, seconds: int = LEVEL_SECONDS) -> DataFrame:
-    """(file_id, peak_db, rms_db) of the first seconds; silence has none."""
     left = F.col("sample_rate").cast("long") * seconds - F.col("window_idx") * length
-    first = windows.where((left > 0) & (F.col("channels") > 0) & (F.col("bits_per_sample") >= 8)).select("file_id", "bits_per_sample", "channels", "raw", left.alias("left"))
-    part = first.mapInArrow(_levels, "file_id long, peak double, squares double, n long").groupBy("file_id").agg(F.max("peak").alias("peak"), F.sum("squares").alias("squares"), F.sum("n").alias("n"))
+    first = windows.where((left > 0) & (F.col("channels") > 0) & (F.col("bits_per_sample") >= 8)).select(F.col(key).alias("key"), "bits_per_sample", "channels", "raw", left.alias("left"))
+    kind = first.schema["key"].dataType
+    arrow = to_arrow_type(kind)
+    part = first.mapInArrow(lambda batches: _levels(batches, arrow), f"key {kind.simpleString()}, peak double, squares double, n long")
+    part = part.groupBy("key").agg(F.max("peak").alias("peak"), F.sum("squares").alias("squares"), F.sum("n").alias("n"))
     rms = F.sqrt(F.col("squares") / F.nullif(F.col("n"), F.lit(0)))
     level = lambda x: F.when(x > 0, 20 * F.log10(x))
-    return part.select("file_id", level(F.col("peak")).alias("peak_db"), level(rms).alias("rms_db"))
+    return part.select(F.col("key").alias(key), level(F.col("peak")).alias("peak_db"), level(rms).alias("rms_db"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,22 +229,13 @@ def audio_digest(windows: DataFrame) -> DataFrame:
     return found.select("file_id", F.coalesce(F.floor(F.col("bytes") / F.nullif(frame, F.lit(0))), F.lit(0)).cast("long").alias("samples"), "md5_hex")
 
 
-def grid_bands(rate: Column) -> Column:
-    """array<struct<hz, cell>>: fine, coarse and refined bands of a rate; a refined band takes a coarse one's place."""
-    from .spectrum_rules import COARSE_FROM, COARSE_STEP, FINE_FROM, FINE_STEP, FINE_TO, LADDER, PASSBAND, TOP_SHARE
-
-    top = rate / 2 * TOP_SHARE
-    fine = F.filter(F.sequence(F.lit(FINE_FROM), F.lit(FINE_TO), F.lit(FINE_STEP)), lambda f: f < top)
-    coarse = F.when((rate > 48000) & (top.cast("int") >= COARSE_FROM), F.sequence(F.lit(COARSE_FROM), F.greatest(top.cast("int"), F.lit(COARSE_FROM)), F.lit(COARSE_STEP))).otherwise(F.array().cast("array<int>"))
-    rungs = F.when(rate % 11025 == 0, F.array(*map(F.lit, LADDER[11025]))).otherwise(F.array(*map(F.lit, LADDER[8000])))
-    centre = lambda r: (F.bround(r * PASSBAND / FINE_STEP, 0) * FINE_STEP).cast("int")
-    around = F.flatten(F.transform(F.filter(rungs, lambda r: r < rate), lambda r: F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: centre(r) + k * FINE_STEP)))
-    edges = F.when(F.size(coarse) > 0, F.array_distinct(F.filter(around, lambda f: (f > FINE_TO) & (f < top)))).otherwise(F.array().cast("array<int>"))
-    cell = lambda x, width: F.transform(x, lambda f: F.struct(f.cast("long").alias("hz"), F.lit(width).alias("cell")))
-    return F.concat(cell(fine, 0), cell(edges, FINE_STEP), cell(F.array_except(coarse, edges), COARSE_STEP))
+def _grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(rate, hz, cell) for rate in batch.column(0).to_pylist() for hz, cell in grid_of(rate)]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int32()), strict=True)], ["sample_rate", "hz", "cell"])
 
 
 def band_grid(rates: DataFrame) -> DataFrame:
     """(sample_rate, hz, cell): the bands of each rate."""
-    grid = rates.select("sample_rate").distinct().select("sample_rate", F.explode(grid_bands(F.col("sample_rate"))).alias("b"))
-    return grid.select("sample_rate", "b.hz", "b.cell")
+    return rates.select(F.col("sample_rate").cast("int")).where("sample_rate > 0").distinct().mapInArrow(_grids, "sample_rate int, hz long, cell int")

@@ -1,7 +1,8 @@
-"""Headers of FLAC files: blocks from bytes, STREAMINFO from blocks, and bytes anew.
+"""Headers of FLAC files: blocks from bytes or from files, STREAMINFO from blocks, and bytes anew.
 
 Only the walk over a file's blocks is a helper in Python; fields are taken from the
-blocks with built-in functions.
+blocks with built-in functions. From files the walk reads ranges: a block that tells
+nothing of the audio, such as a picture, is passed over by its length.
 """
 
 from __future__ import annotations
@@ -12,19 +13,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .files import Ranged
+
 #: Fixed values of the format: its magic, and the types of blocks that are kept with the audio.
 MAGIC, STREAMINFO, COMMENT = b"fLaC", 0, 4
 KEPT_TYPES = (2, 4, 6)
 
 
+def syncsafe(data: bytes) -> int:
+    """A number of seven bits a byte."""
+    size = 0
+    for byte in data:
+        size = size << 7 | byte & 0x7F
+    return size
+
+
 def walk(head: bytes | None) -> tuple[list[tuple[int, int, bytes]], str | None]:
     """((index, type, data) of each block, error code) of the first bytes of a file."""
     at = 0
-    if head is not None and head[:3] == b"ID3" and len(head) >= 10:
-        size = 0
-        for byte in head[6:10]:
-            size = size << 7 | byte & 0x7F
-        at = 10 + size
+    if head is not None and head[:3] == b"ID3":
+        at = 10 + syncsafe(head[6:10])
     if not head or len(head) < at + 4:
         return [], "eof"
     if head[at : at + 4] != MAGIC:
@@ -62,27 +70,121 @@ def read_blocks(files: DataFrame) -> DataFrame:
     return files.select("path", "head").mapInArrow(_walk, schema)
 
 
+#: What of a block is read: the fields of STREAMINFO, and of a comment its vendor; of other types the data only where asked for.
+_INFO_BYTES = 34
+
+
+def walk_file(path: str, kept: tuple[int, ...] = ()) -> tuple[list[dict], int | None, str | None, int]:
+    """(blocks, where the audio begins, error code, bytes read) of a file.
+
+    A block that isn't kept may end behind the file's end unless another should follow,
+    as nothing of it is read. Blocks that are kept must be whole.
+    """
+    blocks: list[dict] = []
+    with Ranged(path) as f:
+
+        def give(audio: int | None, error: str | None) -> tuple[list[dict], int | None, str | None, int]:
+            return blocks, audio, error, f.taken
+
+        at = 0
+        head = f.at(0, 10)
+        if head[:3] == b"ID3":
+            if len(head) < 10:
+                return give(None, "eof")
+            at = 10 + syncsafe(head[6:10])
+        magic = f.at(at, 4)
+        if len(magic) < 4:
+            return give(None, "eof")
+        if magic != MAGIC:
+            return give(None, "not_flac")
+        at, last = at + 4, False
+        while not last:
+            head = f.at(at, 4)
+            if len(head) < 4:
+                return give(None, "eof")
+            last, kind, size = bool(head[0] & 0x80), head[0] & 0x7F, int.from_bytes(head[1:4], "big")
+            if not blocks and kind != STREAMINFO:
+                return give(None, "first_block")
+            if kind == STREAMINFO and size < _INFO_BYTES:
+                return give(None, "short_streaminfo")
+            at += 4
+            whole, data = at + size <= f.size, None
+            if kind in kept:
+                data = f.at(at, size) if whole else None
+            elif kind == STREAMINFO:
+                data = f.at(at, _INFO_BYTES)
+                whole = len(data) == _INFO_BYTES
+            elif kind == COMMENT and whole:
+                data = f.at(at, min(size, 4))
+                data = f.at(at, min(size, 4 + int.from_bytes(data, "little"))) if size >= 4 else data
+            if not whole and (kind in kept or kind in (STREAMINFO, COMMENT)):
+                return give(None, "eof")
+            blocks.append({"block_idx": len(blocks), "block_type": kind, "offset": at, "size": size, "data": data})
+            at += size
+        return give(at, None)
+
+
+_FILE_BLOCKS = "path string, blocks array<struct<block_idx:int,block_type:int,offset:long,size:long,data:binary>>, audio_offset long, error string, bytes_read long"
+
+
+def _walk_files(batches: Iterator[pa.RecordBatch], kept: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("block_idx", pa.int32()), ("block_type", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("data", pa.binary())]))
+    for batch in batches:
+        paths, found = batch.column(0).to_pylist(), []
+        for path in paths:
+            try:
+                found.append(walk_file(path, kept))
+            except OSError as e:
+                found.append(([], None, f"unreadable: {e}", 0))
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        kinds = (kind, pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], ["path", "blocks", "audio_offset", "error", "bytes_read"])
+
+
+def read_file_blocks(files: DataFrame, kept: tuple[int, ...] = ()) -> DataFrame:
+    """(path, blocks, audio_offset, error, bytes_read) of files (path); kept are types whose data is read whole.
+
+    A file that can't be opened or read is a row with an error. Few bytes of a file are
+    read, whatever its pictures weigh: a range at its head, and one where a block is passed over.
+    """
+    return files.select("path").mapInArrow(lambda batches: _walk_files(batches, kept), _FILE_BLOCKS)
+
+
+def read_headers(files: DataFrame) -> DataFrame:
+    """files (path, file_size, mtime_us) with error, the fields of STREAMINFO, vendor, streaminfo_offset and audio_size."""
+    schema = f"file_size long, mtime_us long, {_FILE_BLOCKS}"
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in _walk_files(iter([batch]), ()):
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *found.columns], ["file_size", "mtime_us", *found.schema.names])
+
+    found = unpack_headers(files.select("path", F.col("file_size").cast("long"), F.col("mtime_us").cast("long")).mapInArrow(walked, schema))
+    info = F.try_element_at(F.filter("blocks", lambda b: b["block_type"] == STREAMINFO), F.lit(-1))
+    return found.withColumns({"streaminfo_offset": info["offset"], "audio_size": F.col("file_size") - F.col("audio_offset")}).drop("blocks", "audio_offset")
+
+
 def _number(data: Column, first: int, digits: int) -> Column:
     """Hexadecimal digits of data as a number; first counts from 1."""
     return F.conv(F.substring(F.hex(data), first, digits), 16, 10).cast("long")
 
 
 def unpack_headers(blocks: DataFrame) -> DataFrame:
-    """blocks with the fields of STREAMINFO and the vendor."""
-    info = F.get(F.filter("blocks", lambda b: b["block_type"] == STREAMINFO), F.lit(0))["data"]
-    comment = F.get(F.filter("blocks", lambda b: b["block_type"] == COMMENT), F.lit(0))["data"]
+    """blocks with the fields of STREAMINFO and the vendor; where a type stands twice the last counts."""
+    info = F.try_element_at(F.filter("blocks", lambda b: b["block_type"] == STREAMINFO), F.lit(-1))["data"]
+    comment = F.try_element_at(F.filter("blocks", lambda b: b["block_type"] == COMMENT), F.lit(-1))["data"]
     out = blocks.withColumns({"_info": info, "_comment": comment})
     packed = _number(F.col("_info"), 26, 2)
     reversed_ = F.concat(*[F.substring(F.hex("_comment"), k, 2) for k in (7, 5, 3, 1)])
-    size = F.conv(reversed_, 16, 10).cast("int")
+    size = F.least(F.conv(reversed_, 16, 10).cast("long"), F.length("_comment")).cast("int")
     out = out.withColumns({
-        "max_blocksize": _number(F.col("_info"), 5, 4).cast("int"), "sample_rate": _number(F.col("_info"), 21, 5).cast("int"),
+        "min_blocksize": _number(F.col("_info"), 1, 4).cast("int"), "max_blocksize": _number(F.col("_info"), 5, 4).cast("int"), "sample_rate": _number(F.col("_info"), 21, 5).cast("int"),
         "channels": (F.floor(packed / 32) + 1).cast("int"),
     })
     low = F.floor(_number(F.col("_info"), 26, 2) % 32)
     out = out.withColumns({
         "bits_per_sample": (low + 1).cast("int"), "total_samples": _number(F.col("_info"), 28, 9),
-        "md5_hex": F.lower(F.substring(F.hex("_info"), 37, 32)), "vendor": F.when(F.length("_comment") >= 4, F.decode(F.substring("_comment", F.lit(5), size), "UTF-8")),
+        "md5_hex": F.lower(F.substring(F.hex("_info"), 37, 32)), "vendor": F.when(F.length("_comment") >= 4, F.make_valid_utf8(F.substring("_comment", F.lit(5), size).cast("string"))),
     })
     none = F.when(F.col("error").isNull() & (F.col("max_blocksize") == 0), F.lit("no_streaminfo"))
     return out.withColumn("error", F.coalesce("error", none)).drop("_info", "_comment")
