@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.fixtures import fixture, with_fixtures
+from tracklens.fixtures import fixture
 from tracklens.operators import damage, deep, incremental, rules, summary
 
+from .registry import registry
 from .report import classified_report
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and the SQL that gives the same."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = with_fixtures(sql)
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 DEEP = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.fixtures import fixture, with_fixtures
+from tracklens.fixtures import fixture
 from tracklens.functions import fmt
 from tracklens.operators import plan, rules, spectrum, summary
 from tracklens.sources import headers as flac
@@ -13,22 +13,10 @@ from tracklens.sources import logs
 
 from . import inspect
 from .audit_queries import FULL, full_report
+from .registry import registry
 from .spectrum_queries import READ
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and the SQL that gives the same."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = with_fixtures(sql)
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 NO_MD5 = "repeat('0', 32)"

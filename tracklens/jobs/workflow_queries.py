@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.fixtures import fixture, with_fixtures
+from tracklens.fixtures import fixture
 from tracklens.operators import rules
 from tracklens.sources import headers as flac
 from tracklens.sources import logs
@@ -13,20 +13,10 @@ from tracklens.sources import logs
 from .analyze import analyze_library, todo_files
 from .audit_queries import FULL, LOG_ERROR, LOGS, full_report
 from .media_queries import NO_MD5, analysis_lines, head_bytes
+from .registry import registry
 from .rewrite import rewritten_report, written_outcomes
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str):
-    """Register a query and the SQL that gives the same."""
-
-    def add(f):
-        QUERIES[name], ORACLE[name] = f, with_fixtures(sql)
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 def last_report(spark: SparkSession, d: str) -> DataFrame:

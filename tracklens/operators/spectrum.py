@@ -191,10 +191,10 @@ def signal_levels(windows: DataFrame, length: int = WINDOW, seconds: int = LEVEL
     return part.select(F.col("key").alias(key), level(F.col("peak")).alias("peak_db"), level(rms).alias("rms_db"))
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Digests of files whose chunks come one behind the other."""
-    names, kinds = ["file_id", "bytes", "md5_hex"], [pa.int64(), pa.int64(), pa.string()]
-    file_id, md5, size, done = None, hashlib.md5(), 0, []
+    names, kinds = ["key", "samples", "md5_hex"], [kind, pa.int64(), pa.string()]
+    held, md5, size, frame, done = None, hashlib.md5(), 0, 0, []
 
     def flush() -> pa.RecordBatch:
         columns = list(zip(*done, strict=True)) or [()] * 3
@@ -203,30 +203,31 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     begun = False
     for batch in batches:
-        for own, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if begun and own != file_id:
-                done.append((file_id, size, md5.hexdigest()))
+        for own, channels, bits, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+            if begun and own != held:
+                done.append((held, size // frame if frame else 0, md5.hexdigest()))
                 md5, size = hashlib.md5(), 0
-            file_id, begun, data = own, True, raw.as_py() or b""
+            held, begun, frame, data = own, True, (channels or 0) * ((bits or 0) // 8), raw.as_py() or b""
             md5.update(data)
             size += len(data)
         yield flush()
     if begun:
-        done.append((file_id, size, md5.hexdigest()))
+        done.append((held, size // frame if frame else 0, md5.hexdigest()))
         yield flush()
 
 
-def audio_digest(windows: DataFrame) -> DataFrame:
-    """(file_id, samples, md5_hex) of a file's audio.
+def audio_digest(windows: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, samples, md5_hex) of a file's audio.
 
     A digest can't be merged, so that a file's chunks go by one task in order; they are
     read as a stream, of which one batch is held.
     """
-    facts = windows.groupBy("file_id").agg(F.first("channels").alias("channels"), F.first("bits_per_sample").alias("bits"))
-    chunks = windows.select("file_id", "raw", "window_idx").repartition("file_id").sortWithinPartitions("file_id", "window_idx").select("file_id", "raw")
-    found = chunks.mapInArrow(_digest, "file_id long, bytes long, md5_hex string").join(facts, "file_id")
-    frame = F.col("channels") * F.floor(F.col("bits") / 8)
-    return found.select("file_id", F.coalesce(F.floor(F.col("bytes") / F.nullif(frame, F.lit(0))), F.lit(0)).cast("long").alias("samples"), "md5_hex")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    chunks = windows.select(F.col(key).alias("key"), "channels", "bits_per_sample", "raw", "window_idx").repartition("key").sortWithinPartitions("key", "window_idx").drop("window_idx")
+    kind = chunks.schema["key"].dataType
+    arrow = to_arrow_type(kind)
+    return chunks.mapInArrow(lambda batches: _digest(batches, arrow), f"key {kind.simpleString()}, samples long, md5_hex string").withColumnRenamed("key", key)
 
 
 def _grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

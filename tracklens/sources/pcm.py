@@ -7,13 +7,15 @@ windows, so that where a file is cut never shows in its windows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .files import Ranged
+from .files import Ranged, dealt, resolve
 
 #: Bytes of a range, and of windows that a task holds at once.
 RANGE_BYTES, HELD_BYTES = 16 << 20, 4 << 20
@@ -66,6 +68,38 @@ def cut_windows(files: DataFrame, length: int, stride: int = 1, key: str = "path
     spark = files.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 15))
     dealt = ranges.repartition(tasks, key, "_first")
-    schema = ranges.select(key).withColumns({"window_idx": F.lit(0).cast("long"), **{c: F.lit(0) for c in FORMAT}, "raw": F.lit(b""), "error": F.lit("")}).schema
+    schema = StructType.fromDDL(f"`{key}` {ranges.schema[key].dataType.simpleString()}, window_idx long, sample_rate int, bits_per_sample int, channels int, raw binary, error string")
     arrow = to_arrow_schema(schema)
     return dealt.mapInArrow(lambda batches: _cut(batches, length, stride, arrow), schema)
+
+
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for key, path, offset, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            md5, size = hashlib.md5(), 0
+            try:
+                system, inner = resolve(path)
+                with system.open_input_file(inner) as f:
+                    f.seek(offset)
+                    while data := f.read(HELD_BYTES):
+                        md5.update(data)
+                        size += len(data)
+                rows.append((key, size // frame if frame else 0, md5.hexdigest(), None))
+            except OSError as e:
+                rows.append((key, None, None, f"unreadable: {e}"))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "samples", "md5_hex", "error"])
+
+
+def file_digests(files: DataFrame, tasks: int) -> DataFrame:
+    """(path, samples, md5_hex, error) of the audio of files (path, pcm_path, pcm_size and format).
+
+    A digest goes through a file from end to end, so that files are placed in tasks by
+    their bytes; each is read as a stream and nothing of it is shuffled.
+    """
+    offset = F.coalesce(F.col("pcm_offset").cast("long"), F.lit(0)) if "pcm_offset" in files.columns else F.lit(0).cast("long")
+    frame = F.coalesce(F.col("channels"), F.lit(0)) * F.floor(F.coalesce(F.col("bits_per_sample"), F.lit(0)) / 8)
+    placed = dealt(files.where("pcm_path is not null").withColumns({"_offset": offset, "_frame": frame.cast("long")}), tasks, "pcm_size")
+    return placed.select("path", "pcm_path", "_offset", "_frame").mapInArrow(_hash, "path string, samples long, md5_hex string, error string")

@@ -33,7 +33,8 @@ ROW = (
 )
 DAMAGE = "lost_samples long, truncated boolean, whole_frames_only boolean, harmless boolean, error_positions array<long>"
 INSPECTION = (
-    "cliff_db double, cutoff_hz long, source_rate long, content_why string, content_hz long, enough_rate long, ultra_level double, real_bits int, inspect_error string,"
+    "cliff_db double, cutoff_hz long, gap_db double, spread_db double, source_rate long, content_why string, content_hz long, ultra_level_db double, ultra_peak_hz long, enough_rate long, real_bits int,"
+    " inspect_error string,"
     " lossy_source boolean, upsampled boolean, padded_depth boolean, wasteful boolean, suspicious boolean"
 )
 REPORT = f"{ROW}, {DAMAGE}, {INSPECTION}"
