@@ -2,48 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tracklens import scratch
+from tracklens.scratch import scratch_path  # noqa: F401
+
 #: The bytes of white space, 0x20 and 0x09 to 0x0D.
 WHITE_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one vectorised step handles, so that its arrays stay in a task's memory.
 SLICE_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where that is unset a local session, whose executors are the driver, takes a
-    temporary folder; on a cluster it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = getattr(spark, "_tracklens_folder", None)
-        if folder is None:
-            folder = "file://" + tempfile.mkdtemp(prefix="tracklens-")
-            spark._tracklens_folder = folder
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tracklens-{name}-{uuid.uuid4().hex}"
-
-
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written to the run's folder and read back, with small batches on the way."""
+    bound_batches(df.sparkSession)
+    return scratch.stage_table(df, name)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -108,19 +85,32 @@ _BYTE_CODES = _BYTE_CODES[_LOWER]
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple[np.ndarray, ...]:
-    """64-bit hashes of the lower-cased (A-Z) words of the rows, each row's number of words, and with places where words begin.
-
-    A word is a run of bytes without white space, within one row.
-    """
-    n = len(offsets) - 1
-    nothing = (np.zeros(0, np.uint64), np.zeros(n, np.int64), np.zeros(0, np.int64))[: 2 + places]
+def cuts(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> list[int]:
+    """Places that cut data into parts of about limit bytes, at white space or between rows; a longer word stays whole."""
+    places, n = [0], len(data)
+    while n - places[-1] > limit:
+        at = places[-1] + limit
+        edge = int(offsets[np.searchsorted(offsets, at)])
+        while at < edge:
+            spaces = np.flatnonzero(IS_SPACE[data[at : min(at + 4096, edge)]])
+            if len(spaces):
+                at += int(spaces[0])
+                break
+            at = min(at + 4096, edge)
+        places.append(at)
+    if n > places[-1]:
+        places.append(n)
+    return places
+
+
+def _hashed(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of one part, and where they begin; edges are where rows begin in it."""
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(data) == 0:
         return nothing
     space = IS_SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
-    edges = offsets[:-1][np.diff(offsets) > 0]
     first[edges] = ~space[edges]
     starts = np.flatnonzero(first)
     if len(starts) == 0:
@@ -131,6 +121,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, places: bool = False) ->
     powers = np.full(int(place.max()) + 1, _BASE, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
-    hashes = mix64(np.add.reduceat(_BYTE_CODES[data] * powers[place], starts))
+    return mix64(np.add.reduceat(_BYTE_CODES[data] * powers[place], starts)), starts
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the lower-cased (A-Z) words of the rows, each row's number of words, and with places where words begin.
+
+    A word is a run of bytes without white space, within one row. Rows of any length are
+    read in parts, so that what is held beside the result doesn't grow with a row.
+    """
+    hashes, begins = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    parts = cuts(data, offsets)
+    for lo, hi in zip(parts[:-1], parts[1:], strict=True):
+        inner = edges[np.searchsorted(edges, lo) : np.searchsorted(edges, hi)] - lo
+        found, starts = _hashed(data[lo:hi], inner)
+        hashes.append(found)
+        begins.append(starts + lo)
+    starts = np.concatenate(begins)
     counts = np.diff(np.searchsorted(starts, offsets))
-    return (hashes, counts, starts)[: 2 + places]
+    return (np.concatenate(hashes), counts, starts)[: 2 + places]

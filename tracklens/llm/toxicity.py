@@ -241,50 +241,47 @@ def _best_cut(steps: np.ndarray, clean: np.ndarray, toxic: np.ndarray, at: float
     return float(s[k] - LOGIT_STEP / 2 if k + 1 == len(s) else (s[k] + s[k + 1]) / 2), float(f1[k]), float(plain)
 
 
-def calibrate(model: Model, docs: DataFrame, known: DataFrame, fitted: tuple[int, int]) -> None:
-    """Set the model's cuts from all rows of docs whose id known has with a label.
-
-    Rows are scored as score_documents scores them and counted by language, step of the
-    logit and label, so that the driver sees counts only. fitted has the clean and toxic
-    rows that the fit took; those left stand for these as well, so that cuts are chosen
-    at the corpus's share of toxic rows. The logit is shifted so that 0.5 is the best cut
-    over all, then each language gets its own threshold where that is better. Without
-    clean rows, or with fewer toxic ones than a threshold takes, nothing moves.
+def calibrate(model: Model, raw: DataFrame, known: DataFrame, fitted: tuple[int, int]) -> None:
+    """Set the model's cuts from the logits of all rows whose id known has with a label.
+
+    raw (doc_id, lang, logit, told) are the logits of all rows, told where there is a
+    text. They are counted by step, label and, where a language has toxic rows enough for
+    a cut of its own, language, so that the driver sees counts only. fitted has the clean
+    and toxic rows that the fit took; those left stand for these as well, so that cuts are
+    chosen at the corpus's share of toxic rows. The logit is shifted so that 0.5 is the
+    best cut over all, then each language gets its own threshold where that is better.
+    Without clean rows, or with fewer toxic ones than a threshold takes, nothing moves.
     """
-    rows = docs.where("text is not null").select("doc_id", "lang", "text")
-    #: Scores are joined rather than texts, so that no text is shuffled.
-    scored = score_documents(rows, model).select("doc_id", "lang", "score").join(known.select("doc_id", "toxic").distinct(), "doc_id")
-    step = F.floor(F.log(F.col("score") / (1 - F.col("score"))) / LOGIT_STEP).cast("int")
-    counts = scored.groupBy("lang", step.alias("step"), "toxic").agg(F.count("*").alias("n")).toPandas()
+    scored = raw.where("told").select("doc_id", "lang", F.floor(F.col("logit") / LOGIT_STEP).cast("int").alias("step")).join(known.select("doc_id", "toxic").distinct(), "doc_id")
+    scored = stage_table(scored.groupBy("lang", "step", "toxic").agg(F.count("*").alias("n")), "steps")
+    own_cut = scored.where("lang is not null and toxic = 1").groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= CALIBRATED).select("lang")
+    counts = scored.groupBy("step", "toxic").agg(F.sum("n").alias("n")).toPandas()
     toxic = counts["toxic"] == 1
     if counts["n"][toxic].sum() < CALIBRATED or toxic.all():
         return
-    counts["weight"] = counts["n"].astype(float)
-    for label, taken in enumerate(fitted):
-        own = counts["toxic"] == label
-        counts.loc[own, "weight"] *= 1 + taken / max(counts["n"][own].sum(), 1)
+    weights = {label: 1 + taken / max(counts["n"][counts["toxic"] == label].sum(), 1) for label, taken in enumerate(fitted)}
 
     def best(own, at: float) -> tuple[float, float, float]:
+        own = own.assign(weight=own["n"] * own["toxic"].map(weights))
         held = own.groupby(["step", "toxic"])["weight"].sum().unstack(fill_value=0.0).reindex(columns=[0, 1], fill_value=0.0)
         return _best_cut(held.index.to_numpy(), held[0].to_numpy(), held[1].to_numpy(), at)
 
     cut = best(counts, 0.0)[0]
-    for language, own in counts.groupby("lang"):
-        if own["n"][own["toxic"] == 1].sum() >= CALIBRATED:
-            better, most, plain = best(own, cut)
-            model.thresholds[language] = float(sigmoid(np.float64(better - cut))) if most > plain else 0.5
+    for language, own in scored.join(own_cut, "lang").toPandas().groupby("lang"):
+        better, most, plain = best(own, cut)
+        model.thresholds[language] = float(sigmoid(np.float64(better - cut))) if most > plain else 0.5
     model.offset -= cut
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out_of: int = 5) -> Model:
-    """Fit on a bounded sample of labelled rows outside the held-out fold, calibrate on all others.
-
-    At most SAMPLE rows of either class are fitted, those first by a hash of their id, of
-    any length as long as all their texts together have SAMPLE_BYTES bytes at most; a
-    quarter of the ids, by another hash, is left to calibrate, unless that has too few
-    toxic rows. All labelled rows that are not fitted calibrate. An id with several texts
-    or labels is fitted with the first of them by order. Rows without a label, id or text
-    take no part.
+def fit_sample(docs: DataFrame, labels: DataFrame, held_out_of: int = 5) -> tuple[Model, DataFrame, tuple[int, int]]:
+    """(model without cuts, labelled rows that calibrate it, clean and toxic rows fitted) from a bounded sample.
+
+    At most SAMPLE rows of either class outside the held-out fold are fitted, those first
+    by a hash of their id, of any length as long as all their texts together have
+    SAMPLE_BYTES bytes at most; a quarter of the ids, by another hash, is left to
+    calibrate, unless that has too few toxic rows. All labelled rows that are not fitted
+    calibrate. An id with several texts or labels is fitted with the first of them by
+    order. Rows without a label, id or text take no part.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out_of
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(fold != 0).where("toxic in (0, 1)")
@@ -304,19 +301,49 @@ def train(docs: DataFrame, labels: DataFrame, held_out_of: int = 5) -> Model:
     rows = rows.sample(frac=1, random_state=3)
     y = rows["toxic"].to_numpy()
     model = fit([t.encode() for t in rows["text"]], y)
-    calibrate(model, docs, known.join(F.broadcast(fitted), "doc_id", "left_anti"), (int((y == 0).sum()), int((y == 1).sum())))
+    return model, known.join(F.broadcast(fitted), "doc_id", "left_anti"), (int((y == 0).sum()), int((y == 1).sum()))
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out_of: int = 5) -> Model:
+    """Fit on a bounded sample of labelled rows outside the held-out fold, calibrate on all others of that part."""
+    model, known, fitted = fit_sample(docs, labels, held_out_of)
+    calibrate(model, _logits(docs, model, ("lang",), named=True).select("doc_id", "lang", "logit", "told"), known, fitted)
     return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, with_text: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffers(batch.column(batch.num_columns - 1))
-        scores = np.zeros(batch.num_rows)
+        logits = np.zeros(batch.num_rows)
         for lo, hi in slices(offsets, SLICE_BYTES // 4):
             text = read_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            scores[lo:hi] = sigmoid(model.logits(text).astype(np.float64))
+            logits[lo:hi] = model.logits(text)
         kept = batch.num_columns if with_text else batch.num_columns - 1
-        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(scores)], [*batch.schema.names[:kept], "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(logits)], [*batch.schema.names[:kept], "logit"])
+
+
+def _logits(docs: DataFrame, model: Model, keep: tuple[str, ...], with_text: bool = False, named: bool = False) -> DataFrame:
+    """(row, lang, told, doc_id where named, text where asked for, logit): row is the struct of the columns keep."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    asked = docs.select(row, F.col("lang").alias("lang"), F.col("text").isNotNull().alias("told"), *[F.col("doc_id").alias("doc_id")][:named], F.col("text").alias("text"))
+    schema = StructType([*asked.schema.fields[: 3 + named + with_text], StructField("logit", DoubleType())])
+    return asked.mapInArrow(lambda batches: _score(batches, Model(**shared.value), with_text), schema)
+
+
+def _judged(raw: DataFrame, model: Model, shift: float, with_text: bool) -> DataFrame:
+    """The kept columns with score, threshold and rejected; shift is what calibration moved the logit by."""
+    limit = F.lit(0.5)
+    if model.thresholds:
+        table = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
+        limit = F.coalesce(F.try_element_at(table, F.coalesce("lang", F.lit(""))), F.lit(0.5))
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("logit") + F.lit(shift))))
+    found = raw.withColumn("score", score)
+    return found.select("row.*", *["text"][:with_text], "score", limit.alias("threshold"), (F.col("score") >= limit).alias("rejected"))
+
+
+def _kept(keep: tuple[str, ...], with_text: bool) -> tuple[str, ...]:
+    return tuple(c for c in keep if c not in ("score", "threshold", "rejected") and not (with_text and c == "text"))
 
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang"), with_text: bool = False) -> DataFrame:
@@ -328,14 +355,17 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
     other columns of docs are not read. with_text adds the text itself, which then needs
     no copy of its own in keep.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    keep = [c for c in keep if c not in ("score", "threshold", "rejected") and not (with_text and c == "text")]
-    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
-    asked = docs.select(row, F.col("lang").alias("lang"), F.col("text").alias("text"))
-    schema = StructType([*asked.schema.fields[: 2 + with_text], StructField("score", DoubleType())])
-    scored = asked.mapInArrow(lambda batches: _score(batches, Model(**shared.value), with_text), schema)
-    limit = F.lit(0.5)
-    if model.thresholds:
-        table = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
-        limit = F.coalesce(F.try_element_at(table, F.coalesce("lang", F.lit(""))), F.lit(0.5))
-    return scored.select("row.*", *["text"][:with_text], "score", limit.alias("threshold"), (F.col("score") >= limit).alias("rejected"))
+    return _judged(_logits(docs, model, _kept(keep, with_text), with_text), model, 0.0, with_text)
+
+
+def score_corpus(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), with_text: bool = False, held_out_of: int = 5) -> DataFrame:
+    """What score_documents gives for a model trained on the same docs; each text is scored once.
+
+    The logits are written to the shared folder, calibrate the model there, and are then
+    moved by what calibration found. With with_text the texts are written along with them.
+    """
+    model, known, fitted = fit_sample(docs, labels, held_out_of)
+    raw = stage_table(_logits(docs, model, _kept(keep, with_text), with_text, named=True), "logits")
+    before = model.offset
+    calibrate(model, raw.select("doc_id", "lang", "logit", "told"), known, fitted)
+    return _judged(raw, model, model.offset - before, with_text)
