@@ -169,25 +169,36 @@ def _places(covered: Column, known: Column) -> Column:
     ))
 
 
-def _disclosing(held: DataFrame, words: DataFrame, total: int) -> DataFrame:
-    """(entity, term, disclosure) of the pairs that reveal, from whole documents.
+def _judged(held: DataFrame, total: int) -> DataFrame:
+    """(row, judged, most): the classes of values that a document holds, of those that can be judged.
+
+    Values that stand in the same documents disclose alike, and are one class: what tells
+    classes apart is the number of documents and two hashes over them. However many
+    values a text lists, it has no more classes than ways to share documents.
+    """
+    n_e = held.select("row", F.explode("entities").alias("entity"))
+    facts = n_e.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(2))).alias("b"))
+    facts = facts.where(F.col("n_e").between(SUPPORT, total - 1))
+    most = F.lit(float(total)) * F.pow(F.col("n_e") / F.lit(float(max(total, 1))), F.lit(GENERALISE)) * (1 + 1e-9)
+    classes = n_e.join(facts, "entity").select("row", F.struct("n_e", "a", "b").alias("class"), "n_e", most.alias("most")).distinct()
+    return classes.groupBy("row").agg(F.collect_list(F.struct("class", "n_e", "most")).alias("judged"), F.max("most").alias("most"))
+
+
+def _disclosing(held: DataFrame, judged: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(class, term, disclosure) of the pairs that reveal, from whole documents.
 
     held has the rows with values: row, entities and the covered text; words the words of
     all documents. As n_te is n_e at most, a term of more than N (n_e / N)^GENERALISE
     documents can't reach the threshold; such pairs are left out before they are counted.
     """
-    n_e = held.select("row", F.explode("entities").alias("entity"))
-    n_e = n_e.join(n_e.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e").between(SUPPORT, total - 1)), "entity")
-    most = F.lit(float(total)) * F.pow(F.col("n_e") / F.lit(float(max(total, 1))), F.lit(GENERALISE)) * (1 + 1e-9)
-    judged = stage_table(n_e.groupBy("row").agg(F.collect_list(F.struct("entity", "n_e", most.alias("most"))).alias("judged"), F.max(most).alias("most")), "judged")
     top = judged.agg(F.max("most")).first()[0] or 0.0
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t").between(SUPPORT, int(top)))
     terms = F.array_distinct(F.transform(F.filter(F.split("covered", _SPACE, -1), _open), _clean))
     terms = held.join(judged, "row").select("judged", F.explode(terms).alias("term")).join(n_t, "term")
     pairs = terms.select("term", "n_t", F.explode(F.filter("judged", lambda e: F.col("n_t") <= e["most"])).alias("e"))
-    pairs = pairs.groupBy("e.entity", "term").agg(F.count("*").alias("n_te"), F.first("e.n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_te") >= SUPPORT)
+    pairs = pairs.groupBy("e.class", "term").agg(F.count("*").alias("n_te"), F.first("e.n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_te") >= SUPPORT)
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return pairs.select("entity", "term", (pmi / F.log(F.lit(float(total)) / F.col("n_e"))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return pairs.select("class", "term", (pmi / F.log(F.lit(float(total)) / F.col("n_e"))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -205,8 +216,10 @@ def find_spans(docs: DataFrame) -> DataFrame:
     entities = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
     held = spans.where("covered is not null").select("row", entities.alias("entities"), "covered")
     words = docs.select(F.explode(F.array_distinct(F.transform(_words(text), _clean))).alias("term"))
-    known = stage_table(_disclosing(held, words, spans.count()), "pairs")
-    flagged = held.select("row", F.explode("entities").alias("entity")).join(known, "entity").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    total = spans.count()
+    judged = stage_table(_judged(held, total), "judged")
+    known = stage_table(_disclosing(held, judged, words, total), "pairs")
+    flagged = judged.select("row", F.explode("judged.class").alias("class")).join(known, "class").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
     flagged = flagged.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
     placed = held.join(flagged, "row").select("row", _places(F.col("covered"), F.col("known")).alias("terms"))
     return spans.drop("covered").join(placed, "row", "left").select("doc_id", "text_hash", "base", F.coalesce("terms", F.array().cast(_TERM)).alias("terms"))
