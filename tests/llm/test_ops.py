@@ -209,6 +209,21 @@ def test_clashing_names_pass_through(spark, clashing):
         assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHES)
 
 
+def test_values_listed_together_are_one_class(spark):
+    """Three copies of a list of 20,000 addresses: pairs of values and words grow with the text, not with its square."""
+    listed = " ".join(f"name{k}@list.org word{k}" for k in range(20_000))
+    rows = [(k, listed) for k in range(3)] + [(10 + k, words(30, k)) for k in range(60)]
+    found = {r["doc_id"]: r for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(found[k]["base"]) == 20_000 and len(found[k]["terms"]) == 20_000 for k in range(3))
+    assert {round(s["disclosure"], 9) for s in found[0]["terms"]} == {1.0} and not found[10]["terms"]
+
+
+def test_mixing_of_dotted_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 7, 8), (2, None, None, None, 9)], "doc_id long, text string, source string, `a.b` int, row int")
+    assert sorted((r["doc_id"], r["a.b"], r["row"], r["size"]) for r in mixing.mix(df).collect()) == [(1, 7, 8, 3), (2, None, 9, 0)]
+    assert mixing.mixed_rows(df).columns == df.columns
+
+
 def test_mixing_of_repeated_ids_agrees(spark):
     """Eight texts with one id and with none, dealt differently, give one mix."""
     rows = [(7 if k % 2 else None, words(3 + k, k), "a" if k < 12 else "b") for k in range(16)]
@@ -606,6 +621,35 @@ def test_images_against_all_pairs(spark):
     assert sum(found[20 + k] == 0 for k in range(70)) >= 66
 
 
+def test_crowded_buckets_are_told_however_rows_arrive(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [1, 9, 10, 40, 2, 300, 8, 11, 5, 10]
+    bucket = np.repeat(np.arange(len(sizes)) * 3, sizes)
+    for step in (1, 4, 9, 50, 1000):
+        crowd, found = images._Crowd(), []
+        for lo in range(0, len(bucket), step):
+            found += crowd.put([bucket[lo : lo + step], np.arange(lo, min(lo + step, len(bucket)))])[1].tolist()
+        found += crowd.put([np.zeros(0, np.int64)] * 2, True)[1].tolist()
+        assert found == [k for k in range(len(bucket)) if sizes[bucket[k] // 3] > images.FOLLOWERS + 1], step
+    tests_a, tests_b = rng.integers(-(2**62), 2**62, (300, 4)), rng.integers(-(2**62), 2**62, (250, 4))
+    tests_b[:120] = tests_a[50:170] ^ 5
+    want = images.nearest_both_ways(tests_a, tests_b)
+    monkeypatch.setattr(images, "CELLS", 1)
+    assert [x.tolist() for x in images.nearest_both_ways(tests_a, tests_b)] == [x.tolist() for x in want] and set(range(50, 170)) <= set(want[0].tolist())
+
+
+def test_pictures_of_four_megapixels_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    picture = np.kron(rng.integers(20, 230, (250, 250)), np.ones((8, 8), np.int64)).astype(np.float32)
+    tracemalloc.start()
+    (ca, ta), (cb, tb) = images.describe(picture), images.describe(picture[40:-24, 16:-48] * 0.8 + 20)
+    assert len(ca) > 10_000 and images.compare(np.packbits(ta, axis=1).view(np.int64), images.pack_corners(ca), np.packbits(tb, axis=1).view(np.int64), images.pack_corners(cb)) >= images.INLIERS
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
 def test_corners_pack():
     corners = np.array([[3.25, 900.5, 1.4, -3.1], [0, 0, 2.0, 3.1], [77, 5, 1, 0]], np.float32)
     back = images.unpack_corners(images.pack_corners(corners))

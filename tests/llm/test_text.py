@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from tracklens.llm import ctw, packing
-from tracklens.llm.common import slices, word_hashes
+from tracklens.llm.common import IS_SPACE, cuts, slices, word_hashes
 
 ALPHABET = list("aBzÅé́̊0129.,'!?-\n\t\x0b\x0c\x1c\x1f\x85  　ΣσςİıßﬁＡ漢字😀\x01\x00") + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'LL", " ", " ", " "]
 
@@ -51,3 +51,18 @@ def test_slices_cover():
     parts = list(slices(offsets, 50))
     assert [lo for lo, _ in parts] == [0, *[hi for _, hi in parts[:-1]]] and parts[-1][1] == 7
     assert list(slices(np.zeros(1, np.int64))) == []
+
+
+def test_long_rows_are_read_in_parts():
+    found = [*texts(300, 5), " ".join(f"w{k}" for k in range(400_000)), "x" * 2_500_000 + " tail", "", " " * 1_200_000 + "end"]
+    data, offsets = joined(found)
+    with np.errstate(over="ignore"):
+        hashes, counts, starts = word_hashes(data, offsets, places=True)
+        words = [t.encode().lower().split() for t in found]
+        assert counts.tolist() == [len(w) for w in words]
+        tail = word_hashes(*joined(["tail", "end", "w399999"]))[0].tolist()
+    ends = np.cumsum(counts)
+    assert [hashes[ends[-3] - 1], hashes[-1], hashes[ends[-4] - 1]] == [tail[0], tail[1], tail[2]] and len(starts) == len(hashes)
+    for limit in (1, 7, 64, 5000):
+        places = cuts(data[:20_000], np.minimum(offsets, 20_000), limit)
+        assert places[0] == 0 and places[-1] == 20_000 and all(IS_SPACE[data[p]] or p in offsets for p in places[1:-1])

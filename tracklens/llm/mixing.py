@@ -65,7 +65,7 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_
     own = [c for c in docs.columns if c not in added]
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).cast("binary"))
     sized = docs.select(
-        F.struct(*own).alias("row"), n_words(F.col("text")).alias("size"), key.alias("key"),
+        F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), n_words(F.col("text")).alias("size"), key.alias("key"),
         F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("no_src"),
     ).withColumn("bucket", F.substring("key", 1, DIGITS))
     buckets = sized.groupBy("src", "no_src", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_
     placed = placed.withColumn("whole", whole).withColumn("start", F.col("earlier") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     rest = words - F.col("whole") * F.col("source_size") - F.col("start")
     placed = placed.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("size", rest)))
-    return placed.select("row.*", *added)
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in own], *added)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

@@ -10,6 +10,8 @@ tokens, laid end to end and cut anew; what then remains is cut into powers of tw
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +67,11 @@ class WordTable:
         self.flat = np.append(self.flat, ids)
 
 
+def _worker_state() -> dict:
+    """A dict that stays with this Python worker, so that later tasks find what earlier ones have read."""
+    return sys.modules.setdefault("_tracklens_packing_state", types.ModuleType("_tracklens_packing_state")).__dict__
+
+
 class WordTokens:
     """Token ids of texts, word by word; a word between ASCII white space is encoded once.
 
@@ -83,8 +90,7 @@ class WordTokens:
             import public_tokenizers
 
             name = public_tokenizers.path(name)
-        #: Kept with the library, so that later tasks of this worker find it.
-        held = tokenizers.__dict__.setdefault("_words_by_file", {})
+        held = _worker_state()
         if name not in held:
             tokenizer = tokenizers.Tokenizer.from_file(name)
             mark = tokenizer.encode(MARK, add_special_tokens=False).ids

@@ -108,29 +108,29 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = 1, part
     """df with shard (0 to shards - 1) and slot (gapless from 0 in its shard).
 
     Shard sizes differ by one row at most; every assignment is as likely as any other up
-    to the hash that orders the rows. Rows are told apart by all their values, nulls
-    included; equal rows may trade places. An empty df gives an empty result. Columns
+    to the hash that orders the rows. Rows are told apart by their values and their place
+    in what is written first, so that equal rows, however many, are dealt like any others. An empty df gives an empty result. Columns
     named shard or slot are replaced; all others pass through. df is written to the
     shared folder once, so that a lost executor can't change what was counted.
     """
     own = [c for c in df.columns if c not in ("shard", "slot")]
     #: One struct, so that no name of a column meets one of ours.
-    df = stage_table(df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")), "rows")
+    df = stage_table(df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
     total = df.count()
     parts = parts or min(max(-(-total // ROWS), PARTS[0]), PARTS[1])
     blocks = blocks or min(max(-(-total // (ROWS * shards)), 1), BLOCKS)
-    dealt = df.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(parts)).cast("int"))
+    dealt = df.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "row", "number"), F.lit(parts)).cast("int"))
     counts = [0] * parts
     for r in dealt.groupBy("part").count().collect():
         counts[r["part"]] = r["count"]
     sizes = [b for s in split(total, shards) for b in split(s, blocks)]
     ends = np.cumsum(communication_matrix(counts, sizes, seed), axis=1)
     bounds = df.sparkSession.createDataFrame([(p, e.tolist()) for p, e in enumerate(ends)], "part int, ends array<long>")
-    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), "row"), "row")
+    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), "row", "number"), "number")
     sent = dealt.withColumn("rank", F.row_number().over(local) - 1).join(bounds, "part")
     sent = sent.withColumn("cell", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
     sent = sent.withColumn("shard", F.floor(F.col("cell") / blocks).cast("int")).withColumn("block", F.col("cell") % blocks)
-    arrival = Window.partitionBy("shard", "block").orderBy(F.xxhash64(F.lit(seed + 2), "row"), "row")
+    arrival = Window.partitionBy("shard", "block").orderBy(F.xxhash64(F.lit(seed + 2), "row", "number"), "number")
     size = F.lit(total // shards) + (F.col("shard") < total % shards).cast("long")
     base = F.col("block") * F.floor(size / blocks) + F.least(F.col("block").cast("long"), size % blocks)
     return sent.select("row", "shard", (base + F.row_number().over(arrival) - 1).cast("long").alias("slot")).select("row.*", "shard", "slot")

@@ -32,6 +32,8 @@ DICTIONARY_FRAME = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this size are never revisited.
 REVISIT_BYTES = 1000
+#: Parts in which pages meet the response of their payload.
+SALTS = 16
 #: Bytes of records in an archive, of a dictionary, and of the records it is trained on.
 ARCHIVE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES = 32 << 20, 64 << 10, 4 << 20
 #: High halves of record ids, for pages with and without an id.
@@ -148,7 +150,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.when(F.octet_length(payload) >= REVISIT_BYTES, F.sha1(payload)).alias("digest"))
     repeated = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    linked = rows.where("digest is not null").join(repeated.select("digest", "first"), "digest", "left")
+    #: A payload that very many pages have is met in SALTS parts.
+    repeated = repeated.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    linked = rows.where("digest is not null").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(repeated, ["digest", "salt"], "left")
     linked = linked.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
     #: Short payloads take no part in the join: they have no digest to meet by.
     linked = linked.unionByName(rows.where("digest is null").select("page_id", "url", "html", F.lit(None).cast(rows.schema["page_id"].dataType).alias("refers_to")))
