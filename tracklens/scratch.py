@@ -5,8 +5,10 @@ A run has one folder of its own there, so that clear() can drop all it has writt
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +56,25 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def drop(spark: SparkSession, folder: str) -> None:
+    fs, path = hadoop_path(spark, folder)
+    fs.delete(path, True)
+
+
+@contextlib.contextmanager
+def folder_of_its_own(spark: SparkSession) -> Iterator[str]:
+    """What is staged meanwhile lies in a folder within the run's, which can be dropped before the run's end."""
+    outer = run_folder(spark)
+    own = spark._tracklens_run = f"{outer}/part-{uuid.uuid4().hex}"
+    try:
+        yield own
+    finally:
+        spark._tracklens_run = outer
+
+
 def clear(spark: SparkSession) -> None:
     """Drop all that this session has staged, once its results are written elsewhere: tables read from it are gone."""
     own = getattr(spark, "_tracklens_run", None)
     if own is not None:
-        fs, path = hadoop_path(spark, own)
-        fs.delete(path, True)
+        drop(spark, own)
         spark._tracklens_run = None
