@@ -143,3 +143,15 @@ def test_files_are_written_whole_or_told_of(spark, tmp_path):
     found = {r["path"]: r for r in files.write_files(spark.createDataFrame(rows, "path string, content binary")).collect()}
     assert (tmp_path / "new/deep/a.flac").read_bytes() == b"abc" and (tmp_path / "b.flac").read_bytes() == b""
     assert [found[p]["written"] for p, _ in rows] == [3, 0, None] and found[rows[2][0]]["error"]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 64])
+def test_headers_as_a_data_source(spark, library, partitions):
+    from tracklens.sources.readers import AudioHeaders
+
+    spark.dataSource.register(AudioHeaders)
+    loaded = spark.read.format("audio_headers").option("partitions", partitions).load(str(library))
+    found = {os.path.basename(r["path"]): (r["error"], r["sample_rate"], r["vendor"], r["audio_offset"]) for r in headers.unpack_headers(loaded).collect()}
+    assert {n: v[:3] for n, v in found.items()} == {n: v[:3] for n, v in WANTED.items()} and all(found[n][3] == WANTED[n][3] for n in WANTED)
+    assert spark.read.format("audio_headers").option("originals", "true").load(str(library)).count() == 0
+    assert spark.read.format("audio_headers").load(str(library / "nothing here")).count() == 0

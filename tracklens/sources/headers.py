@@ -124,7 +124,7 @@ def walk_file(path: str, kept: tuple[int, ...] = ()) -> tuple[list[dict], int |
         return give(at, None)
 
 
-_FILE_BLOCKS = "path string, blocks array<struct<block_idx:int,block_type:int,offset:long,size:long,data:binary>>, audio_offset long, error string, bytes_read long"
+FILE_BLOCKS = "path string, blocks array<struct<block_idx:int,block_type:int,offset:long,size:long,data:binary>>, audio_offset long, error string, bytes_read long"
 
 
 def _walk_files(batches: Iterator[pa.RecordBatch], kept: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +147,12 @@ def read_file_blocks(files: DataFrame, kept: tuple[int, ...] = ()) -> DataFrame:
     A file that can't be opened or read is a row with an error. Few bytes of a file are
     read, whatever its pictures weigh: a range at its head, and one where a block is passed over.
     """
-    return files.select("path").mapInArrow(lambda batches: _walk_files(batches, kept), _FILE_BLOCKS)
+    return files.select("path").mapInArrow(lambda batches: _walk_files(batches, kept), FILE_BLOCKS)
 
 
 def read_headers(files: DataFrame) -> DataFrame:
     """files (path, file_size, mtime_us) with error, the fields of STREAMINFO, vendor, streaminfo_offset and audio_size."""
-    schema = f"file_size long, mtime_us long, {_FILE_BLOCKS}"
+    schema = f"file_size long, mtime_us long, {FILE_BLOCKS}"
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
