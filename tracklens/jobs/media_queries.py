@@ -383,6 +383,37 @@ def a18(spark, d):
     return spectrum.audio_digest(pcm(spark, d)).select("file_id", "samples", "md5_hex")
 
 
+#: Two windows a file of 4,096 samples in two channels, from a vector's values over and over.
+STEREO = """WITH v AS (SELECT file_id, window_idx, sample_rate, [floor(greatest(-1.0, least(0.999, CAST(x AS DOUBLE))) * 32768) / 32768.0 FOR x IN samples] AS s FROM fx_vectors WHERE window_idx % 8 = 0 AND window_idx < 16),
+w AS (SELECT file_id, window_idx, sample_rate, j, s[(j * 7 + j // 64) % 64 + 1] AS x FROM v, (SELECT unnest(range(0, 8192)) AS j)),
+m AS (SELECT file_id, window_idx, sample_rate, j // 2 AS i, avg(x) AS x FROM w GROUP BY ALL)"""
+
+
+def stereo(spark: SparkSession, d: str) -> DataFrame:
+    v = fixture(spark, d, "fx_vectors").where("window_idx % 8 = 0 and window_idx < 16")
+    word = lambda x: F.pmod(F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(0.999), x.cast("double"))) * 32768).cast("int"), F.lit(65536))
+    turned = F.transform("samples", lambda x: F.concat(F.lpad(F.hex(word(x) % 256), 2, "0"), F.lpad(F.hex(F.floor(word(x) / 256)), 2, "0")))
+    words = F.transform(F.sequence(F.lit(0), F.lit(8191)), lambda j: F.get("words", (j * 7 + F.floor(j / 64).cast("int")) % 64))
+    rows = v.select(F.col("file_id").cast("long").alias("file_id"), F.col("window_idx").cast("long").alias("window_idx"), "sample_rate", turned.alias("words"))
+    return rows.select("file_id", "window_idx", "sample_rate", F.lit(16).alias("bits_per_sample"), F.lit(2).alias("channels"), F.unhex(F.array_join(words, "")).alias("raw"))
+
+
+@query("a6_stereo_windows", f"""{STEREO}, s AS (SELECT *, x * (0.35875 - 0.48829 * cos(2 * pi() * i / 4095) + 0.14128 * cos(4 * pi() * i / 4095) - 0.01168 * cos(6 * pi() * i / 4095)) AS y, ((window_idx // 8 + 1) * 0.6180339887498949) % 1 - 0.5 AS move FROM m),
+  b AS (SELECT unnest([0, 14000, 15000, 18000, 26000, 30000]) AS hz, unnest([0, 0, 0, 0, 2000, 2000]) AS cell),
+  e AS (SELECT file_id, window_idx, hz, pow(sum(y * cos(2 * pi() * i * f / sample_rate)), 2) + pow(sum(y * sin(2 * pi() * i * f / sample_rate)), 2) AS e
+    FROM (SELECT s.*, hz, CASE WHEN hz = 0 THEN 1000 ELSE hz + move * cell END AS f FROM s JOIN b ON hz < sample_rate / 2 * 0.95) GROUP BY file_id, window_idx, hz),
+  t AS (SELECT file_id, hz, sum(e) AS energy FROM e GROUP BY file_id, hz)
+  SELECT CAST(t.file_id AS BIGINT) AS file_id, t.hz, round(10 * log10(t.energy / r.energy + 1e-30), 3) AS db FROM t JOIN t r ON r.file_id = t.file_id AND r.hz = 0 WHERE t.hz > 0""")
+def a6_stereo(spark, d):
+    levels = spectrum.band_levels(spectrum.measure(stereo(spark, d), BANDS))
+    return levels.select("file_id", "hz", F.round("db", 3).alias("db"))
+
+
+@query("a17_stereo_levels", f"{STEREO} SELECT CAST(file_id AS BIGINT) AS file_id, round(20 * log10(max(abs(x))), 6) AS peak_db, round(20 * log10(sqrt(avg(x * x))), 6) AS rms_db FROM w WHERE window_idx * 4096 < sample_rate * 60 GROUP BY file_id")
+def a17_stereo(spark, d):
+    return spectrum.signal_levels(stereo(spark, d)).select("file_id", F.round("peak_db", 6).alias("peak_db"), F.round("rms_db", 6).alias("rms_db"))
+
+
 @query("w2_band_grid", """WITH r AS (SELECT DISTINCT sample_rate, sample_rate * 0.475 AS top FROM fx_headers), n AS (SELECT unnest(range(0, 200)) AS n),
   edge AS (SELECT DISTINCT sample_rate, hz FROM (SELECT sample_rate, top, CAST(round_even(rung * 0.49 / 500, 0) * 500 AS BIGINT) + k * 500 AS hz FROM r, (SELECT unnest([44100, 88200, 176400, 48000, 96000, 192000]) AS rung, unnest([1, 1, 1, 0, 0, 0]) AS fam), (SELECT unnest([-2, -1, 0, 1, 2]) AS k)
     WHERE rung < sample_rate AND fam = CASE WHEN sample_rate % 11025 = 0 THEN 1 ELSE 0 END AND sample_rate > 48000) WHERE hz > 25000 AND hz < top)
