@@ -58,5 +58,5 @@ def analyze_library(
     own = [c for c in fresh.columns if not c.startswith("_")]
     old = {c: F.col("_entry")[c] for c in previous.columns}
     none = F.lit(None)
-    merged = [F.when(F.col("_reuse"), old.get(c, none)).otherwise(F.col(c)).alias(c) for c in own] + [F.when(F.col("_reuse"), old[c]).alias(c) for c in old if c not in own]
+    merged = [F.when(F.col("_reuse"), old.get(c, none)).otherwise(F.col(c)).alias(c) for c in own] + [F.when(F.col("_reuse"), old[c]).alias(c) for c in old if c not in own and c != "reused"]
     return rules.analysis_flags(fresh.select(*merged, F.col("_reuse").alias("reused")))

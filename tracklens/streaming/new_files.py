@@ -1,7 +1,8 @@
 """New and changed files as a stream: each is taken into the report once.
 
 What is known of a path, its size and time, is keyed state in the stream's state store,
-so that a batch costs what arrives in it and nothing of the report is read again.
+so that a batch costs what arrives in it and nothing of the report is read again. The
+state of very many paths belongs on disk: set the store's provider to Spark's RocksDB one.
 """
 
 from __future__ import annotations
