@@ -35,9 +35,11 @@ DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search di
 #: Words of classes and ids that tell of something else than the article, those that tell of readers' comments, and those that say what a page has or hasn't.
 UNLIKELY = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promoted promotion promotions nav navbar navigation menu menubar topbar breadcrumb breadcrumbs
-    crumbs masthead header footer foot sidebar aside rail notice notices notification alert cookie cookies consent gdpr privacy popup popover modal overlay newsletter subscribe subscription signup signin login
-    register share sharing social follow related recommended recommendations outbrain taboola pagination pager paging toolbar widget widgets search searchbox skip copyright disclaimer hidden toc tags""".split()
+    crumbs masthead header footer foot sidebar aside notice notices notification alert cookie cookies consent gdpr privacy popup popover modal newsletter subscribe subscription signup signin login
+    register share sharing social related recommended recommendations outbrain taboola adsbygoogle pagination pager paging toolbar search searchbox copyright disclaimer hidden toc""".split()
 )
+#: Words that tell so unless another word names the article.
+DOUBTFUL = frozenset("widget widgets skip tags overlay follow rail legal".split())
 COMMENTS = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
 STATES = frozenset("has with without no is not".split())
 LIKELY = frozenset("article articlebody body content entry main page post story text blog prose".split())
@@ -61,28 +63,30 @@ _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element: its place in the tree, what its names say, and what it has gathered."""
 
-    __slots__ = ("tag", "parent", "order", "names", "heading", "gone", "base", "points", "chars", "links", "anchors")
+    __slots__ = ("tag", "parent", "order", "names", "heading", "gone", "muted", "base", "points", "chars", "links", "anchors")
 
     def __init__(self, tag: str, parent: Node | None, order: int, names: str):
         self.tag, self.parent, self.order, self.names = tag, parent, order, names
         self.heading, self.gone = tag in ("h1", "main"), ""
         self.points: float | None = None
+        self.muted = False
         self.base = self.chars = self.links = self.anchors = 0
 
 
 def said_by_names(names: str) -> str:
     """What an element's classes and id tell: 'comments', 'unlikely', 'likely' or nothing."""
-    likely = False
+    likely = doubtful = False
     for name in names.split():
         words = [w.lower() for w in _NAME.findall(name)]
-        if not words or words[0] in STATES:
+        if not STATES.isdisjoint(words):
             continue
         if not COMMENTS.isdisjoint(words):
             return "comments"
         if not UNLIKELY.isdisjoint(words):
             return "unlikely"
         likely = likely or not LIKELY.isdisjoint(words)
-    return "likely" if likely else ""
+        doubtful = doubtful or not DOUBTFUL.isdisjoint(words)
+    return "likely" if likely else "unlikely" if doubtful else ""
 
 
 def _attributes(source: str) -> tuple[str, bool]:
@@ -120,6 +124,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     linked: list[str] = []
     depth: dict[str, int] = {"html": 1}
     lowered: str | None = None
+    muted = 0
     at, end, tag_form = 0, len(page), _TAG
 
     def flush() -> None:
@@ -132,8 +137,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             linked.clear()
 
     def pop(k: int) -> None:
+        nonlocal muted
         for n in stack[k:]:
             depth[n.tag] -= 1
+            muted -= n.muted
         del stack[k:]
 
     def close(tags: set[str], scope: set[str]) -> None:
@@ -150,7 +157,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         begin = page.find("<", at)
         if begin < 0:
             begin = end
-        if begin > at:
+        if begin > at and not muted:
             pieces.append(page[at:begin])
             if depth.get("a"):
                 linked.append(page[at:begin])
@@ -163,12 +170,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if found is None:
             if page[begin + 1 : begin + 2].isalpha():  # a tag that the end of the page cuts
                 break
-            pieces.append("<")
+            if not muted:
+                pieces.append("<")
             at = begin + 1
             continue
         if found[2] is None:
             if found[0] == "<!--":
-                close_at = page.find("-->", begin + 4)
+                close_at = page.find("-->", begin + 2)
                 at = end if close_at < 0 else close_at + 3
             else:
                 close_at = page.find(">", begin)
@@ -201,6 +209,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             continue
         if tag in VOID:
             continue
+        if depth.get("head"):
+            flush()
+            close({"head"}, set())
         if tag in BLOCK:
             flush()
             if depth.get("p") and tag != "body":
@@ -221,6 +232,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if (not found[3].endswith("/") or tag in BLOCK) and len(stack) < DEEPEST:
             stack.append(node)
             depth[tag] = depth.get(tag, 0) + 1
+            #: What rules out an inline element rules out its words in the line.
+            if tag not in BLOCK and (node.gone or (names and said_by_names(names) in ("comments", "unlikely"))):
+                node.muted = True
+                muted += 1
     flush()
     return nodes, blocks
 
