@@ -187,3 +187,36 @@ def test_no_conversations(spark):
     dropped = next(k for k in range(1000) if zlib.crc32(f"{k}:0".encode()) % 20 == 0)
     one = spark.createDataFrame([(dropped, 0, "user", "Hi.")], none.schema)
     assert [tuple(r) for r in dialogues.repair_conversations(one).collect()] == [(dropped, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+def test_texts_of_six_megabytes(spark):
+    """One such text, its copy and a short one through the operators that read whole texts."""
+    from tracklens.llm import ctw, minhash, packing, toxicity
+
+    long = " ".join(f"w{x}" for x in np.random.default_rng(8).integers(0, 90_000, 1_000_000))
+    assert len(long) > 6_000_000
+    rows = [(1, long, "en"), (2, long + " tail", "en"), (3, "a short one , you idiot", "en")] + [(10 + k, f"plain text {k} " + ("you idiot" if k % 2 else "and more"), "en") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+    words = long.split()
+    assert found[1] == (len({tuple(words[k : k + 5]) for k in range(len(words) - 4)}), 1) and found[2][1] == 1 and found[3][1] == 3
+    pieces = packing.pack(docs.where("doc_id = 1")).select("start", "length", "doc_tokens").collect()
+    assert sum(r["length"] for r in pieces) == pieces[0]["doc_tokens"] > 1_000_000
+    labels = spark.createDataFrame([(10 + k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_corpus(docs, labels).collect()}
+    assert len(scores) == 43 and all(0 <= s <= 1 for s in scores.values()) and scores[3] > scores[10]
+    from pyspark.sql import functions as F
+
+    scored = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in ctw.score(docs.where("doc_id <> 2"), F.col("doc_id") != 1).collect()}
+    assert scored[1][0] == len(words) + 1 and -1e9 < scored[1][1] < 0
+
+
+def test_one_vector_many_times(spark):
+    from tracklens.llm import ann
+
+    r = np.random.default_rng(1)
+    same = [float(x) for x in r.normal(size=8)]
+    rows = [(k, same) for k in range(3000)] + [(3000 + k, [float(x) for x in r.normal(size=8)]) for k in range(300)] + [(7, same)] * 50
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {(x["query_id"], x["rank"]): x["vec_id"] for x in ann.nearest(df, df.where("vec_id in (0, 50)")).collect()}
+    assert [found[0, k] for k in range(1, 6)] == [1, 2, 3, 4, 5] and [found[50, k] for k in range(1, 6)] == [0, 1, 2, 3, 4]
