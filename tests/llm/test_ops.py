@@ -146,6 +146,22 @@ def test_sharding(spark, docs, none):
     assert abs(together - 0.25) < 0.04 and Counter(shard.values()) == dict.fromkeys(range(4), 1000)
 
 
+def test_sharding_orders_long_parts_in_ranges(spark, monkeypatch):
+    """What one task would order in whole comes in ranges of the hash: still gapless, uniform, and the same again."""
+    many = spark.range(3000).selectExpr("if(id < 1000, 7, id) as doc_id", "'x' as text")
+    whole = {r["shard"]: [] for r in sharding.shuffle_into_shards(many, shards=4, parts=3, blocks=2).collect()}
+    monkeypatch.setattr(sharding, "ROWS", 50)
+    rows = sharding.shuffle_into_shards(many, shards=4, parts=3, blocks=2).collect()
+    for r in rows:
+        whole[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(750)) for s in whole.values()) and sum(r["doc_id"] == 7 for r in rows) == 1000
+    copies = Counter(r["shard"] for r in rows if r["doc_id"] == 7)
+    assert all(abs(copies[k] - 250) < 60 for k in range(4))
+    place = {r["doc_id"]: r["shard"] * 750 + r["slot"] for r in rows if r["doc_id"] != 7}
+    order = np.array([place[k] for k in range(1000, 3000)])
+    assert abs(np.corrcoef(np.arange(2000), order)[0, 1]) < 0.07
+
+
 def test_matrix_margins():
     m = sharding.communication_matrix([5, 0, 7, 3], [4, 4, 4, 3], 1)
     assert m.sum(axis=1).tolist() == [5, 0, 7, 3] and m.sum(axis=0).tolist() == [4, 4, 4, 3] and (m >= 0).all()

@@ -21,6 +21,8 @@ from .common import stage_table
 SHARDS = 16
 #: Rows of a part and of a block to aim at, and how many of either there may be.
 ROWS, PARTS, BLOCKS = 1_000_000, (32, 4096), 64
+#: Bits of a hash whose ranges a part or block is ordered in where it has more rows than that.
+SPLIT_BITS = 12
 
 
 def _stirling_error(n: int) -> float:
@@ -104,6 +106,24 @@ def split(n: int, ways: int) -> list[int]:
     return [n // ways + (k < n % ways) for k in range(ways)]
 
 
+def _ranked(rows: DataFrame, keys: tuple[str, ...], seed: int, each: int) -> DataFrame:
+    """rows (row, number, ...) with rank, from 0 within keys, in the order of a hash.
+
+    Where keys have each rows, more than a task should order, ranges of the hash are
+    counted and then ordered one by one.
+    """
+    bits = min((max(1, -(-each // ROWS)) - 1).bit_length(), SPLIT_BITS)
+    rows = rows.withColumn("turn", F.xxhash64(F.lit(seed), "row", "number"))
+    if not bits:
+        order = Window.partitionBy(*keys).orderBy("turn", "number")
+        return rows.withColumn("rank", F.row_number().over(order) - 1).drop("turn")
+    rows = rows.withColumn("range", F.shiftrightunsigned("turn", 64 - bits).cast("int"))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "range").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    order = Window.partitionBy(*keys, "range").orderBy("turn", "number")
+    return rows.join(counts, [*keys, "range"]).withColumn("rank", F.col("earlier") + F.row_number().over(order) - 1).drop("turn", "range", "earlier")
+
+
 def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = 1, parts: int | None = None, blocks: int | None = None) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (gapless from 0 in its shard).
 
@@ -126,11 +146,10 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = 1, part
     sizes = [b for s in split(total, shards) for b in split(s, blocks)]
     ends = np.cumsum(communication_matrix(counts, sizes, seed), axis=1)
     bounds = df.sparkSession.createDataFrame([(p, e.tolist()) for p, e in enumerate(ends)], "part int, ends array<long>")
-    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), "row", "number"), "number")
-    sent = dealt.withColumn("rank", F.row_number().over(local) - 1).join(bounds, "part")
+    sent = _ranked(dealt, ("part",), seed + 1, -(-total // parts)).join(bounds, "part")
     sent = sent.withColumn("cell", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
     sent = sent.withColumn("shard", F.floor(F.col("cell") / blocks).cast("int")).withColumn("block", F.col("cell") % blocks)
-    arrival = Window.partitionBy("shard", "block").orderBy(F.xxhash64(F.lit(seed + 2), "row", "number"), "number")
+    arrived = _ranked(sent.select("row", "number", "shard", "block"), ("shard", "block"), seed + 2, -(-total // (shards * blocks)))
     size = F.lit(total // shards) + (F.col("shard") < total % shards).cast("long")
     base = F.col("block") * F.floor(size / blocks) + F.least(F.col("block").cast("long"), size % blocks)
-    return sent.select("row", "shard", (base + F.row_number().over(arrival) - 1).cast("long").alias("slot")).select("row.*", "shard", "slot")
+    return arrived.select("row", "shard", (base + F.col("rank")).cast("long").alias("slot")).select("row.*", "shard", "slot")
