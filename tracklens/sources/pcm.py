@@ -19,6 +19,8 @@ from .files import Ranged, dealt, resolve
 
 #: Bytes of a range, and of windows that a task holds at once.
 RANGE_BYTES, HELD_BYTES = 16 << 20, 4 << 20
+#: Ranges that a task reads, about, and tasks at most.
+RANGES_PER_TASK, MOST_TASKS = 16, 100_000
 FORMAT = ("sample_rate", "bits_per_sample", "channels")
 
 
@@ -63,14 +65,14 @@ def cut_windows(files: DataFrame, length: int, stride: int = 1, key: str = "path
         last = F.least(last, F.ceil(F.col("sample_rate").cast("long") * seconds / F.lit(length)) - 1)
     step = F.greatest(F.floor(F.lit(range_bytes) / size / stride), F.lit(1)) * stride
     ranges = sound.withColumns({"_offset": offset, "_last": last.cast("long"), "_step": step.cast("long")}).where("_last >= 0")
+    count = ranges.agg(F.sum(F.ceil((F.col("_last") + 1) / F.col("_step")))).first()[0] or 0
     ranges = ranges.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.col("_step"))))
     ranges = ranges.select(key, "pcm_path", *[F.col(c).cast("int") for c in FORMAT], "_offset", "_first", F.least("_last", F.col("_first") + F.col("_step") - 1).alias("_end"))
-    spark = files.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 15))
-    dealt = ranges.repartition(tasks, key, "_first")
+    tasks = min(max(int(count) // RANGES_PER_TASK, files.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+    spread = ranges.repartition(tasks, key, "_first")
     schema = StructType.fromDDL(f"`{key}` {ranges.schema[key].dataType.simpleString()}, window_idx long, sample_rate int, bits_per_sample int, channels int, raw binary, error string")
     arrow = to_arrow_schema(schema)
-    return dealt.mapInArrow(lambda batches: _cut(batches, length, stride, arrow), schema)
+    return spread.mapInArrow(lambda batches: _cut(batches, length, stride, arrow), schema)
 
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
