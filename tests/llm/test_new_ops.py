@@ -31,6 +31,7 @@ WANTED = "The & title First paragraph, with commas, and some more words to read.
         ("<html><head><title>t</title><p>No body, no end of the head.", "No body, no end of the head."), ("<!--><p>Seen, <!-- <p>not -->read</p>", "Seen, read"),
         ("<article><p>Read <span class='ad'>buy <b>now</b></span>this <span hidden>not</span><button>Share</button>and <svg><text>x</text></svg>that.</p></article>", "Read this and that."),
         ("<div class='elementor-widget-text-editor'><p>A widget, of text, that is read.</p></div><div class='widget'><p>A widget, of links, that isn't.</p></div>", "A widget, of text, that is read."),
+        ("<div class='menu'><nav><p>Links, links, more links.</p></nav><p>Only this, no more.</p></div>", "Only this, no more."),
         ("<div class='page-with-menu'><p>A page, with a menu, somewhere.</p></div>", "A page, with a menu, somewhere."),
         ("<table><tr><td><p>Cell, one, with words enough<td><p>Cell, two, with words enough</table>", "Cell, one, with words enough Cell, two, with words enough"),
     ],

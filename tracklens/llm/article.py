@@ -63,11 +63,11 @@ _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element: its place in the tree, what its names say, and what it has gathered."""
 
-    __slots__ = ("tag", "parent", "order", "names", "heading", "gone", "muted", "base", "points", "chars", "links", "anchors")
+    __slots__ = ("tag", "parent", "order", "names", "heading", "out", "gone", "muted", "base", "points", "chars", "links", "anchors")
 
     def __init__(self, tag: str, parent: Node | None, order: int, names: str):
         self.tag, self.parent, self.order, self.names = tag, parent, order, names
-        self.heading, self.gone = tag in ("h1", "main"), ""
+        self.heading, self.out, self.gone = tag in ("h1", "main"), False, ""
         self.points: float | None = None
         self.muted = False
         self.base = self.chars = self.links = self.anchors = 0
@@ -227,13 +227,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         names, out = _attributes(found[3]) if found[3] else ("", False)
         node = Node(tag, stack[-1], len(nodes), names)
         node.heading = node.heading or " main" in names
-        node.gone = "out" if (out and tag not in ("html", "body")) or tag in DROPPED else ""
+        node.out = (out and tag not in ("html", "body")) or tag in DROPPED
         nodes.append(node)
         if (not found[3].endswith("/") or tag in BLOCK) and len(stack) < DEEPEST:
             stack.append(node)
             depth[tag] = depth.get(tag, 0) + 1
             #: What rules out an inline element rules out its words in the line.
-            if tag not in BLOCK and (node.gone or (names and said_by_names(names) in ("comments", "unlikely"))):
+            if tag not in BLOCK and (node.out or (names and said_by_names(names) in ("comments", "unlikely"))):
                 node.muted = True
                 muted += 1
     flush()
@@ -249,10 +249,7 @@ def _drop(nodes: list[Node], by_names: bool) -> None:
         parent = node.parent
         if parent is None:
             continue
-        if parent.gone:
-            node.gone = parent.gone
-        elif node.gone not in ("", "out"):
-            node.gone = ""
+        node.gone = parent.gone or ("out" if node.out else "")
         if node.gone:
             continue
         if node.tag == "header":
