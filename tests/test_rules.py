@@ -100,6 +100,21 @@ def test_log_errors(spark):
     assert [r[0] for r in rows.collect()] == ["bad", "two", "no_output", "no_output"]
 
 
+def test_an_error_without_text_is_the_whole_line(spark):
+    logs = spark.createDataFrame([("first\n a.flac: ERROR \nlast",), ("x ERROR ,: \n",), ("a.flac: ERROR, lost sync",)], "log string")
+    found = [r[0] for r in logs.select(damage.log_error(F.col("log"))).collect()]
+    assert found == ["a.flac: ERROR", "x ERROR ,:", "lost sync"]
+
+
+def test_partition_orders_count_for_known_types_only(spark):
+    from tracklens.operators.deep import subframe_stats
+    from tracklens.sources.logs import parse_analysis
+
+    lines = ["\tsubframe=0\twasted_bits=0\tpartition_order=7", "\tsubframe=1\twasted_bits=0\ttype=LPC, order=8\tresidual_type=RICE\tpartition_order=3", "\tsubframe=2\ttype=CONSTANT"]
+    stats = subframe_stats(parse_analysis(spark.createDataFrame([(1, x) for x in lines], "file_id long, value string"))[1]).first()
+    assert (stats["subframes"], stats["lpc"], stats["constant"], stats["max_lpc_order"], stats["max_partition_order"]) == (3, 1, 1, 8, 3)
+
+
 @pytest.mark.parametrize("qp, valid", [(0, False), (1, True), (51, True), (52, False)])
 def test_transcode_limits(spark, qp, valid):
     videos = spark.createDataFrame([("a", "b", "h264", qp, "copy")], "input string, output string, encoder string, qp int, audio string")
