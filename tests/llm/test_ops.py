@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklens.llm import ann, components, ctw, images, minhash, mixing, packing, pii, sharding, toxicity, warc
+from tracklens.llm import ann, components, ctw, images, minhash, mixing, packing, pii, queries, sharding, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, component string, row long"
 
@@ -303,6 +303,18 @@ def test_pii_base(spark, docs, none):
     assert pii.find_spans(docs).count() == len(TEXTS) and pii.find_spans(none).count() == 0
 
 
+def test_disclosure_query_counts_each_kind(spark, tmp_path):
+    """The counts of the query, whose kinds all differ."""
+    texts = [*TRICKY, None, "", "a@b.c d@e.f g@h.i 1.2.3.4 5.6.7.8 4381893557741609", "+49 (030) 123-4567 1.2.3.4 999.2.3.4"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op5_disclosure(spark, str(tmp_path)).collect()}
+    for n, text in enumerate(texts):
+        spans = sorted((m.start(), k, m.end()) for k, (kind, p) in enumerate(KINDS) for m in re.finditer(p, text or "") if good(kind, m[0]))
+        assert [found[n][f"n_{kind}"] for kind, _ in KINDS] == [sum(s[1] == k for s in spans) for k in range(len(KINDS))], n
+        assert found[n]["base_sha256"] == hashlib.sha256(",".join(f"{KINDS[k][0]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+    assert len(found) == len(texts)
+
+
 def test_pii_of_very_long_texts(spark):
     """A run of a million letters and 100,000 addresses take seconds, not the square of their size."""
     import time

@@ -225,6 +225,13 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return spans.drop("covered").join(placed, "row", "left").select("doc_id", "text_hash", "base", F.coalesce("terms", F.array().cast(_TERM)).alias("terms"))
 
 
+def counted(base: Column) -> list[Column]:
+    """n_email, n_ip, n_card and n_phone of base spans."""
+    #: A lambda's second parameter would be taken for the element's index, whatever its default.
+    of_kind = lambda k: lambda s: s["kind"] == k
+    return [F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{kind[0]}") for k, kind in enumerate(KINDS)]
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*[F.lit(k[0]) for k in KINDS], F.lit(TERM))
