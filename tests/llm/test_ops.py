@@ -666,6 +666,31 @@ def test_crowded_buckets_are_told_however_rows_arrive(monkeypatch):
     assert [x.tolist() for x in images.nearest_both_ways(tests_a, tests_b)] == [x.tolist() for x in want] and set(range(50, 170)) <= set(want[0].tolist())
 
 
+def test_crowded_buckets_are_compared_whole(spark, monkeypatch):
+    """Of a family of noisy copies, which crowd their buckets, every link that comparing all pairs gives is found, in blocks of a few images."""
+    rng = np.random.default_rng(21)
+    pictures = [images.render(rng.normal(size=64)) for _ in range(20)]
+    pictures = [images.read_pgm(images.write_pgm(p)) for p in pictures + [pictures[0] + rng.normal(0, 1.5, pictures[0].shape) for _ in range(180)]]
+    described = [images.describe(p) for p in pictures]
+    packed = [(np.packbits(t, axis=1).view(np.int64), images.pack_corners(c)) for c, t in described]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if images.compare(*packed[a], *packed[b]) >= images.INLIERS}
+    sizes = [len(c) for _, c in packed]
+
+    def block(ids):
+        return np.array(ids), np.cumsum([0, *(sizes[k] for k in ids)]), np.concatenate([packed[k][0] for k in ids]), np.concatenate([packed[k][1] for k in ids])
+
+    one, other = block([5, *range(59, 30, -1)]), block([k for k in range(31) if k != 5])
+    for cells in (1, 1 << 20):
+        monkeypatch.setattr(images, "CELLS", cells)
+        assert sorted([*images.linked(one, one, True), *images.linked(one, other, False), *images.linked(other, other, True)]) == sorted(want), cells
+    every = block(list(range(200)))
+    links = Counter(k for pair in images.linked(every, every, True) for k in pair)
+    monkeypatch.setattr(images, "BLOCK", 2000)
+    rows = [(k, bytearray(images.write_pgm(p))) for k, p in enumerate(pictures)]
+    found = images.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()
+    assert {r["image_id"]: r["n_links"] for r in found} == {k: links[k] for k in range(200)} and links[0] == 180
+
+
 def test_pictures_of_four_megapixels_take_little_memory():
     import tracemalloc
 
