@@ -691,6 +691,43 @@ def test_crowded_buckets_are_compared_whole(spark, monkeypatch):
     assert {r["image_id"]: r["n_links"] for r in found} == {k: links[k] for k in range(200)} and links[0] == 180
 
 
+def test_words_whose_first_bits_differ_are_near():
+    """Distances are those of the bits themselves: numpy counts a negative number's absolute value."""
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2, (60, 256), dtype=np.uint8)
+    other = bits ^ (rng.random((60, 256)) < 0.05)
+    other[:, ::64] = 1 - bits[:, ::64]
+    pack = [np.packbits(x, axis=1).view(np.int64) for x in (bits, other)]
+    apart = (bits[:, None] != other[None]).sum(axis=2)
+    want = [k for k in range(60) if apart[k].argmin() == k and apart[:, k].argmin() == k and apart[k, k] <= images.DISTANCE]
+    assert len(want) > 50
+    assert [x.tolist() for x in images.nearest_both_ways(*pack)] == [want, want]
+    one = np.zeros(60, np.int64)
+    assert [sorted(x.tolist()) for x in images.matches_between(pack[0], one, pack[1], one)] == [want, want]
+    assert images.bits_apart(pack[0], pack[1]).sum(axis=1).tolist() == np.diag(apart).tolist()
+
+
+def test_blocks_are_compared_by_products(monkeypatch):
+    """Two blocks of pictures match as nearest_both_ways says, image by image; consensus looks at few of 3,600 unlike pairs alone."""
+    rng = np.random.default_rng(31)
+    described = [images.describe(images.render(rng.normal(size=64))) for _ in range(120)]
+    tests = [np.packbits(t, axis=1).view(np.int64) for _, t in described]
+    corners = [images.pack_corners(c) for c, _ in described]
+    one, other = ((np.arange(lo, lo + 60), np.cumsum([0, *map(len, tests[lo : lo + 60])]), np.concatenate(tests[lo : lo + 60]), np.concatenate(corners[lo : lo + 60])) for lo in (0, 60))
+    own, far = (np.repeat(np.arange(60), np.diff(x[1])) for x in (one, other))
+    a, b = images.matches_between(one[2], own, other[2], far)
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    want = set()
+    for i in range(60):
+        for j in range(60):
+            u, v = images.nearest_both_ways(tests[i], tests[60 + j])
+            want |= set(zip((u + one[1][i]).tolist(), (v + other[1][j]).tolist(), strict=True))
+    assert found == want
+    calls = []
+    monkeypatch.setattr(images, "consensus", lambda *x, f=images.consensus: calls.append(x) or f(*x))
+    assert list(images.linked(one, other, False)) == [] and len(calls) <= 6
+
+
 def test_pictures_of_four_megapixels_take_little_memory():
     import tracemalloc
 
