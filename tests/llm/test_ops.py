@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracklens import scratch
 from tracklens.llm import ann, components, ctw, images, minhash, mixing, packing, pii, queries, sharding, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, component string, row long"
@@ -63,6 +66,32 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_what_is_shuffled_and_not_met_leaves_the_disk(spark):
+    def shuffled():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", held))
+
+    def staged(name):
+        folder = scratch.run_folder(spark).removeprefix("file://")
+        return {d for d, _, _ in os.walk(folder) if os.path.basename(d).startswith(name)}
+
+    texts = [(k, words(60, k // 2) + (f" tail{k}" if k % 2 else "")) for k in range(200)] + [(k, words(50, 7) + words(20, k)) for k in range(200, 260)]
+    docs, before, sets = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), shuffled(), staged("sets-")
+    found = minhash.near_duplicates(docs)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    #: A last count of rows may leave its few bytes.
+    assert len(shuffled() - before) <= 3
+    assert staged("sets-") == sets
+    assert {r["doc_id"]: r["component_id"] for r in found.collect() if r["doc_id"] < 200} == {k: k - k % 2 for k in range(200)}
+    bits, slots = minhash._bitmap(docs.select(F.col("doc_id").alias("id")).where("id % 3 = 0"))
+    held = docs.withColumnRenamed("doc_id", "id").select((F.col("id") % 3 == 0).alias("asked"), minhash._id_slot(slots).alias("slot")).collect()
+    known = [(r["asked"], bool(bits[r["slot"] >> 3] >> (r["slot"] & 7) & 1)) for r in held]
+    assert all(bit for asked, bit in known if asked) and sum(bit for asked, bit in known if not asked) < 20
+
+
 def test_near_duplicates_of_families(spark):
     """Copies of copies and texts that share a passage: chains that no leader of a bucket sees whole."""
     rng = np.random.default_rng(5)
