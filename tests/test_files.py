@@ -157,3 +157,28 @@ def test_headers_as_a_data_source(spark, library, partitions):
     assert {n: v[:3] for n, v in found.items()} == {n: v[:3] for n, v in WANTED.items()} and all(found[n][3] == WANTED[n][3] for n in WANTED)
     assert spark.read.format("audio_headers").option("originals", "true").load(str(library)).count() == 0
     assert spark.read.format("audio_headers").load(str(library / "nothing here")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["s1_walk_folder"])
+def test_files_of_slices_go_with_their_slice(spark, monkeypatch, name):
+    import duckdb
+
+    import __spark_entry__
+    from tracklens import scratch
+    from tracklens.jobs import file_queries
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(file_queries, "SLICE", 70)
+    most, write = [], file_queries.write_all
+    monkeypatch.setattr(file_queries, "write_all", lambda df: (write(df), most.append(df.count())))
+    found = __spark_entry__.queries()[name](spark, sf).toArrow()
+    with duckdb.connect() as con:
+        for t in ("part", "lineitem"):
+            con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        con.register("found", found)
+        want = __spark_entry__.oracle_sql()[name]
+        assert found.num_rows == con.execute(f"select count(*) from ({want})").fetchone()[0]
+        assert con.execute(f"(select * from found except all ({want})) union all (({want}) except all select * from found)").fetchall() == []
+    assert len(most) >= 3 and max(most) < 120
+    left = [n for _, _, names in os.walk(scratch.run_folder(spark).removeprefix("file://")) for n in names if n.endswith((".flac", ".ana"))]
+    assert left == []

@@ -302,7 +302,7 @@ def head_bytes(spark: SparkSession, d: str) -> DataFrame:
     blocks = F.concat(F.unhex(F.lit("00000022")), info, F.unhex(F.lit("04")), width(F.length(comment), 3), comment, F.unhex(F.lit("8100000400000000")))
     prefix = F.when(F.col("file_id") % 4 == 1, F.unhex(F.lit("49443304000000000105" + "00" * 133))).otherwise(F.unhex(F.lit("")))
     magic = F.when(F.col("error").isNull(), F.unhex(F.lit("664C6143"))).otherwise(F.unhex(F.lit("4F676753")))
-    return h.select("path", F.concat(prefix, magic, blocks).alias("head"))
+    return h.select("file_id", "path", F.concat(prefix, magic, blocks).alias("head"))
 
 
 @query("s4_read_headers", "SELECT path, error, CASE WHEN error IS NULL THEN sample_rate END AS sample_rate, CASE WHEN error IS NULL THEN channels END AS channels, CASE WHEN error IS NULL THEN bits_per_sample END AS bits_per_sample, CASE WHEN error IS NULL THEN max_blocksize END AS max_blocksize, CASE WHEN error IS NULL THEN total_samples END AS total_samples, CASE WHEN error IS NULL THEN md5_hex END AS md5_hex, CASE WHEN error IS NULL THEN vendor END AS vendor FROM fx_headers")
