@@ -159,7 +159,7 @@ def test_headers_as_a_data_source(spark, library, partitions):
     assert spark.read.format("audio_headers").load(str(library / "nothing here")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["s1_walk_folder", "s4_headers_from_files"])
+@pytest.mark.parametrize("name", ["s1_walk_folder", "s4_headers_from_files", "s5_ordered_log"])
 def test_files_of_slices_go_with_their_slice(spark, monkeypatch, name):
     import duckdb
 

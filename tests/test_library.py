@@ -1,10 +1,12 @@
 """Folders from end to end: PCM in windows, stored reports, logs in order, limits of any number."""
 
+import gzip
 import hashlib
 import json
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_files import block, comment, info
@@ -168,6 +170,37 @@ def test_subframes_find_their_frame_across_parts(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("read", [1, 3, 1 << 20])
+def test_lines_of_parts_are_those_of_the_file(tmp_path, monkeypatch, read):
+    monkeypatch.setattr(logs, "READ", read)
+    r = np.random.default_rng(6)
+    for k, text in enumerate([b"", b"a", b"\n", b"\r\n", b"a\r\nb", b"\r\r\n\n", b"abcdef\n", *(bytes(r.choice(list(b"ab\r\n"), 40).tolist()) for _ in range(30))]):
+        path = tmp_path / f"{k}.ana"
+        path.write_bytes(text)
+        want = [x.decode() for x in text.splitlines()]
+        for step in (1, 2, 3, 7, 100):
+            parts = [(str(path), at, min(at + step, len(text))) for at in range(0, max(len(text), 1), step)]
+            rows = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*parts, strict=True)], ["path", "start", "end"])
+            assert [x for b in logs._lines(iter([rows])) for x in b.column("value").to_pylist()] == want
+    packed = tmp_path / "x.ana.gz"
+    packed.write_bytes(gzip.compress(b"one\ntwo"))
+    rows = pa.RecordBatch.from_arrays([pa.array([str(packed)]), pa.array([0]), pa.array([None], pa.int64())], ["path", "start", "end"])
+    assert [x for b in logs._lines(iter([rows])) for x in b.column("value").to_pylist()] == ["one", "two"]
+
+
+def test_no_listing_of_logs_passes_through_the_driver(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.ana").write_text(f"frame={k}\toffset=0\n\tsubframe=1\ttype=LPC\n")
+    (tmp_path / "_hidden.ana").write_text("frame=9\toffset=0\n")
+    parts = logs.log_parts(spark, str(tmp_path))
+    assert not any(p.endswith(".ana") for p in parts.inputFiles()) and parts.count() == 3
+    for path, count in ((str(tmp_path), 3), (f"{tmp_path}/[01].ana", 2), (f"file://{tmp_path}/2.ana", 1)):
+        found = logs.read_log(spark, path).where("value like '%subframe%'").collect()
+        assert len(found) == count and all(os.path.basename(x["path"]) == f"{x['frame']}.ana" for x in found)
+    with pytest.raises(FileNotFoundError):
+        logs.read_log(spark, str(tmp_path / "nothing"))
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_limits_of_any_number(spark, monkeypatch, few):
     monkeypatch.setattr(asof, "FEW", few)
