@@ -40,3 +40,23 @@ def test_changed_files_are_taken_again_over_ten_batches_and_a_restart(spark, tmp
     assert sorted((r["batch"], r["path"], r["file_size"], r["mtime_us"], r["change"]) for r in held.collect()) == sorted(wanted, key=lambda x: x[:2])
     now = {r["path"]: (r["file_size"], r["mtime_us"], r["is_partial"]) for r in current_report(spark, report).collect()}
     assert now == {p: (*v, 1) for p, v in known.items()}
+
+
+def test_a_path_with_one_row_is_not_sorted(monkeypatch):
+    import pandas as pd
+
+    from tracklens.streaming import new_files
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def arrived(state, *parts):
+        return [r for df in new_files._arrived(("a",), iter([pd.DataFrame(p, columns=["path", "file_size", "mtime_us"]) for p in parts]), state) for r in df.itertuples(index=False, name=None)]
+
+    state, several = State(), State()
+    assert arrived(several, [("a", 1, 1), ("a", 1, 5)], [("a", 3, 2)]) == [("a", 1, 5, "new")] and arrived(several, [("a", 9, 4), ("a", 1, 5)]) == []
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda *_, **__: 1 / 0)
+    assert [arrived(state, [("a", *x)]) for x in ((1, 1), (1, 1), (2, 1), (1, 1))] == [[("a", 1, 1, "new")], [], [("a", 2, 1, "changed")], [("a", 1, 1, "changed")]]

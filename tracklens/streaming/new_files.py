@@ -35,13 +35,14 @@ def _arrived(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> It
     """The last row of a path in a batch, if it is new or isn't what the state knows."""
     last = None
     for part in parts:
-        row = part.sort_values(["mtime_us", "file_size"], na_position="first", kind="stable").tail(1)
-        last = row if last is None else pd.concat([last, row]).sort_values(["mtime_us", "file_size"], na_position="first", kind="stable").tail(1)
-    now = (_number(last["file_size"].iloc[0]), _number(last["mtime_us"].iloc[0]))
-    change = "changed" if state.exists else "new"
-    if not state.exists or tuple(state.get) != now:
+        #: Nearly all paths have one row, which needs no order.
+        found = part if last is None else pd.concat([last, part])
+        last = found if len(found) == 1 else found.sort_values(["mtime_us", "file_size"], na_position="first", kind="stable").tail(1)
+    now = (_number(last["file_size"].iat[0]), _number(last["mtime_us"].iat[0]))
+    known = tuple(state.get) if state.exists else None
+    if known != now:
         state.update(now)
-        yield last.assign(change=change)
+        yield last.assign(change="new" if known is None else "changed")
 
 
 def changes(listed: DataFrame) -> DataFrame:
